@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, pii
+from . import bpe_chunks, exact_dedup, packing, pii, token_counts
 from .common import table
 
 
@@ -16,7 +17,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op10_pii)}
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.digest(bpe_chunks.encode(table(spark, sf_dir, "documents")))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.with_crc(packing.pieces(table(spark, sf_dir, "documents"))))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op4_packing, op9_token_counts, op10_pii)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
