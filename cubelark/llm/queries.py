@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, exact_dedup, packing, pii, token_counts
+from . import bpe_chunks, exact_dedup, packing, pii, quality, secrets, token_counts
 from .common import table
 
 
@@ -25,11 +25,20 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.with_crc(packing.pieces(table(spark, sf_dir, "documents"))))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op4_packing, op9_token_counts, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op4_packing, op5_secrets, op8_quality, op9_token_counts, op10_pii)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
