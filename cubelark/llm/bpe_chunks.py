@@ -29,16 +29,16 @@ _CHUNKS = "doc_id long, row long, k int, last boolean, base long, text string"
 _PIECES = "doc_id long, row long, k int, last boolean, begin long, finish long, ids binary"
 
 
-def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers).
 
     A null or empty text has no tokens.  Rows may repeat; each is encoded.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    docs = common.documents(df, id_col, text_col).withColumn("long", F.length("text") > CHUNK)
+    docs = common.documents(df, id_col, text_col).withColumn("long", F.length("text") > chunk)
     short = common.map_arrow(docs.where("NOT long").select("doc_id", "text"), _encode_short(path), "doc_id long, n_tokens long, ids binary")
-    cut = common.map_arrow(docs.where("long").select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), _cut, _CHUNKS)
-    pieces = common.map_arrow(cut.repartition("row", "k"), _encode_chunk(path), _PIECES)
+    cut = common.map_arrow(docs.where("long").select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), _cut(chunk, overlap), _CHUNKS)
+    pieces = common.map_arrow(cut.repartition("row", "k"), _encode_chunk(path, overlap), _PIECES)
     whole = pieces.repartition("row").sortWithinPartitions("row", "k").mapInArrow(_stitch, "doc_id long, n_tokens long, ids binary")
     return short.unionByName(whole)
 
@@ -101,16 +101,16 @@ def cut(text: str, chunk: int, overlap: int) -> list[tuple[int, str]]:
     return [(s, text[s:e]) for s, e in zip(starts, ends, strict=True)]
 
 
-def _cut():
+def _cut(chunk: int, overlap: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-            parts = cut(text, CHUNK, OVERLAP)
+            parts = cut(text, chunk, overlap)
             rows += [(doc, row, k, k == len(parts) - 1, start, part) for k, (start, part) in enumerate(parts)]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.string()]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [n.split()[0] for n in _CHUNKS.split(", ")])
 
-    return work
+    return lambda: work
 
 
 def in_step(text: str, first: bool, last: bool, overlap: int) -> tuple[int, int]:
@@ -132,14 +132,14 @@ def _boundaries(text: str) -> list[int]:
     return [m.start() for m in regex.finditer(spaces, text)]
 
 
-def _encode_chunk(path: str):
+def _encode_chunk(path: str, overlap: int):
     def make():
         codec = bpe.encoder(path)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             begin, finish, ids = [], [], []
             for k, last, base, text in zip(*(batch.column(c).to_pylist() for c in ("k", "last", "base", "text")), strict=True):
-                a, b = in_step(text, k == 0, last, OVERLAP)
+                a, b = in_step(text, k == 0, last, overlap)
                 begin.append(base + a)
                 finish.append(base + b)
                 ids.append(codec.encode(text[a:b]))

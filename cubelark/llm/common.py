@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubelark.plans.components import written  # noqa: F401  operators take it from here
+
 #: Longest text, in code points, that shares an Arrow slice with others.
 SLICE_CHARS = 4_000_000
 
@@ -20,45 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none (tests on one machine) a local one is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        folder = os.path.join(tempfile.gettempdir(), "cubelark-shared")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written as Parquet in the shared folder and read back.
-
-    Cuts the lineage: a lost executor costs a re-read, never a recomputation.
-    The files are removed when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cubelark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = getattr(spark.sparkContext, "_jvm", None)
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    try:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the JVM may already be gone when Python ends
-        pass
-
-
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Identifier and whole text only, under fixed names; a null text is empty."""
     return df.select(
@@ -94,7 +53,3 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     step = max(1, min(half, batch.num_rows * SLICE_CHARS // batch.nbytes))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
-
-
-def word_list(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])

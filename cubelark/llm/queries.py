@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, exact_dedup, packing, pii, quality, secrets, token_counts
+from . import bpe_chunks, exact_dedup, licenses, ngram_join, packing, pii, quality, secrets, token_counts, toxicity
 from .common import table
 
 
@@ -17,6 +17,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("held_out", toxicity.fold() == 0)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.digest(bpe_chunks.encode(table(spark, sf_dir, "documents")))
 
@@ -29,6 +35,14 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.links(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -38,7 +52,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op4_packing, op5_secrets, op8_quality, op9_token_counts, op10_pii)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_bpe, op3_exact_dedup, op4_packing, op5_secrets, op6_licenses, op7_ngram_join, op8_quality, op9_token_counts, op10_pii)
+}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """

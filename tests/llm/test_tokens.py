@@ -26,12 +26,10 @@ def frame(spark):
     return spark.createDataFrame([(i, t, "x") for i, t in enumerate(samples())], "doc_id long, text string, ids string")
 
 
-def test_encoding_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(bpe_chunks, "CHUNK", 300)
-    monkeypatch.setattr(bpe_chunks, "OVERLAP", 40)
+def test_encoding_round_trip(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = {r.doc_id: r for r in bpe_chunks.digest(bpe_chunks.encode(frame(spark))).collect()}
+    got = {r.doc_id: r for r in bpe_chunks.digest(bpe_chunks.encode(frame(spark), chunk=300, overlap=40)).collect()}
     for i, text in enumerate(samples()):
         ids = array("I", library.encode_ordinary(text or "")).tobytes()
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest()), i
