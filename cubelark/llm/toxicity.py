@@ -73,9 +73,19 @@ def contexts(hashes: list[np.ndarray], k: int) -> np.ndarray:
     return before
 
 
-def bucket(hashes: np.ndarray) -> np.ndarray:
+def key_of(hashes: np.ndarray) -> np.ndarray:
+    """The 32 bits by which grams and contexts are told apart when they are counted."""
     with np.errstate(over="ignore"):
-        return ((hashes * np.uint64(_MULTIPLIER)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+        return ((hashes * np.uint64(_MULTIPLIER)) >> np.uint64(32)).astype(np.uint32)
+
+
+def entry_of(keys: np.ndarray) -> np.ndarray:
+    """Where a key stands in the tables: by its leading bits."""
+    return (keys >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return entry_of(key_of(hashes))
 
 
 @dataclass
@@ -157,7 +167,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = docs.join(marks, "doc_id").select("text", "label", "half")
     words = marked.mapInArrow(_count_words, "word string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
     keys = ["k", "gram", "context", "suffix", "suffix_context", "initial"]
-    grams = words.mapInArrow(_count_grams, "k int, gram long, context long, suffix long, suffix_context long, initial boolean, " + ", ".join(f"{c} double" for c in COUNTS))
+    grams = words.mapInArrow(_count_grams, "k int, gram int, context int, suffix int, suffix_context int, initial boolean, " + ", ".join(f"{c} long" for c in COUNTS))
     grams = common.written(grams.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS]), "grams")
 
     draw = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCUMENTS))
@@ -195,10 +205,10 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(here):
                     continue
                 _, first, group = np.unique(hashes[k][here], return_index=True, return_inverse=True)
-                sums = [np.bincount(group, weights=c[of[here]]) for c in counts]
+                sums = [np.bincount(group, weights=c[of[here]]).astype(np.int64) for c in counts]
                 own = here[first]
                 columns = [hashes[k], contexts(hashes, k), hashes[k - 1], contexts(hashes, k - 1) if k > 1 else hashes[0]]
-                arrays = [pa.array(np.full(len(own), k, dtype=np.int32)), *[pa.array(c[own].view(np.int64)) for c in columns], pa.array(at[own] == k - 1), *map(pa.array, sums)]
+                arrays = [pa.array(np.full(len(own), k, dtype=np.int32)), *[pa.array(key_of(c[own]).view(np.int32)) for c in columns], pa.array(at[own] == k - 1), *map(pa.array, sums)]
                 yield pa.record_batch(arrays, ["k", "gram", "context", "suffix", "suffix_context", "initial", *COUNTS])
 
 
@@ -208,7 +218,7 @@ def _tables(grams: DataFrame, toxic, ordinary) -> Model:
     Grams of the full order, or that open a word, keep their counts; shorter
     ones count the different grams that extend them to the left.
     """
-    grams = grams.select("k", "gram", "context", "suffix", "suffix_context", "initial", toxic.alias("t"), ordinary.alias("o")).where("t > 0 OR o > 0")
+    grams = grams.select("k", "gram", "context", "suffix", "suffix_context", "initial", toxic.cast("double").alias("t"), ordinary.cast("double").alias("o")).where("t > 0 OR o > 0")
     own = grams.where((F.col("k") == ORDER) | F.col("initial")).select("k", "gram", "context", "t", "o")
     extended = grams.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("gram"), F.col("suffix_context").alias("context")).agg(F.sum((F.col("t") > 0).cast("double")).alias("t"), F.sum((F.col("o") > 0).cast("double")).alias("o"))
     every = own.unionByName(extended).groupBy("k", "gram", "context").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
@@ -244,7 +254,7 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         k, t, o = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "t", "o"))
         for kind, name in enumerate(("gram", "context")):
-            entry = bucket(batch.column(name).to_numpy(zero_copy_only=False).view(np.uint64))
+            entry = entry_of(batch.column(name).to_numpy(zero_copy_only=False).view(np.uint32))
             keys, group = np.unique(k.astype(np.int64) * BUCKETS + entry, return_inverse=True)
             sums = [pa.array(np.bincount(group, weights=v)) for v in (t, o, (t > 0).astype(float), (o > 0).astype(float))]
             yield pa.record_batch([pa.array((keys // BUCKETS).astype(np.int32)), pa.array((keys % BUCKETS).astype(np.int32)), pa.array(np.full(len(keys), kind, dtype=np.int32)), *sums], ["k", "entry", "kind", "t", "o", "types_t", "types_o"])
