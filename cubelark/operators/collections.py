@@ -159,7 +159,7 @@ def merge(collection: CubeCollection, reducer: str, *, track_types: bool = True,
     _one_type(collection, track_types)
     first = collection.first
     call = verbs.reducer_of(reducer, first, custom)
-    vtype, labels = verbs.typed(reducer, first, track=track_types, manual=manual)
+    vtype, labels = verbs.typed(reducer, first, track=track_types, manual=manual, custom=custom)
     if collection.grouped is not None:
         dims = tuple(d for d in first.dims if d != GROUP)
         axes = {d: Axis(d, a.frame.select(d).distinct(), a.descending, tuple(b for b in a.by if b != GROUP)) for d, a in first.axes.items()}

@@ -16,9 +16,12 @@ from ..functions.values import Interval, TimeBounds
 from ..model import GROUP, SPACE, TIME, VALUE, Axis, CubeArray, CubeCollection, X, Y, fresh, possible_types
 
 
-def typed(function: str, x: CubeArray, *others: object, track: bool = True, manual: dict | None = None) -> tuple[str | None, Mapping | None]:
-    """Value type and labels of a result; checks the operands if types are tracked."""
-    if not track:
+def typed(function: str, x: CubeArray, *others: object, track: bool = True, manual: dict | None = None, custom: Mapping | None = None) -> tuple[str | None, Mapping | None]:
+    """Value type and labels of a result; checks the operands if types are tracked.
+
+    Custom functions are checked only if `manual` has rules for them.
+    """
+    if not track or function in (custom or {}) and function not in (manual or {}):
         return None, None
     operands = [possible_types(x.vtype)]
     for y in others:
@@ -42,7 +45,7 @@ def evaluate(x: CubeArray, operator: str, y: object = None, *, track_types: bool
     custom = custom or {}
     if operator not in custom and operator not in scalar.NAMES:
         raise UnknownOperatorError(f"there is no operator {operator!r}")
-    vtype, labels = typed(operator, x, *([] if y is None else [y]), track=track_types, manual=manual)
+    vtype, labels = typed(operator, x, *([] if y is None else [y]), track=track_types, manual=manual, custom=custom)
     if operator in custom:
         call = custom[operator]
         if isinstance(y, CubeArray):
@@ -219,7 +222,7 @@ def reduce(x: CubeArray, reducer: str, dimension: str | None = None, *, track_ty
     """Collapses a dimension, `space`, or all dimensions."""
     gone = x.spatial(dimension)
     call = reducer_of(reducer, x, custom)
-    vtype, labels = typed(reducer, x, track=track_types, manual=manual)
+    vtype, labels = typed(reducer, x, track=track_types, manual=manual, custom=custom)
     keep = tuple(d for d in x.dims if d not in gone)
     coords = tuple(c for c in x.coords if Y in keep and X in keep)
     order = x.order_of(tuple(d for d in x.dims if d in gone))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.reducers import SEPARABLE
+from ..functions.reducers import REDUCERS, SEPARABLE
 from ..functions.scalar import truth
 from ..model import SPACE, VALUE, CubeArray, X, Y
 from .verbs import reducer_of, typed
@@ -61,7 +61,7 @@ def smooth(x: CubeArray, reducer: str, dimension: str, size: int, limit: int = 2
     """
     x.spatial(dimension)
     call = reducer_of(reducer, x, custom)
-    vtype, labels = typed(reducer, x, track=track_types, manual=manual)
+    vtype, labels = typed(reducer, x, track=track_types, manual=manual, custom=custom)
     if dimension == SPACE:
         return _smooth_space(x, reducer, call, size, limit, fill).with_expr(F.col(VALUE), vtype=vtype, labels=labels)
     source = x.densify() if fill else x
@@ -106,7 +106,7 @@ _PASS = {
 
 
 def _smooth_space(x: CubeArray, reducer: str, call, size: int, limit: int, fill: bool) -> CubeArray:
-    parts = _parts(reducer) if call is reducer_of(reducer, x) else None
+    parts = _parts(reducer) if call is REDUCERS.get(reducer) else None
     dense = x.densify() if fill or parts else x
     frame = positioned(x, positioned(x, dense.cells(), Y), X)
     others = [d for d in x.dims if d not in (Y, X)]

@@ -59,7 +59,8 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
         e = written(_small_star(_large_star(e)), "edges")
         before, state = state, _state(e)
         if state == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
     raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")
 
 

@@ -229,9 +229,8 @@ def op_intersects(spark, sf_dir):
 @register("""SELECT DISTINCT y, x, CAST(x BETWEEN (SELECT min(x) FROM cube WHERE peak > 489) AND (SELECT max(x) FROM cube WHERE peak > 489)
   AND y BETWEEN (SELECT min(y) FROM cube WHERE peak > 489) AND (SELECT max(y) FROM cube WHERE peak > 489) AS DOUBLE) AS v FROM grid""")
 def op_intersects_array(spark, sf_dir):
-    r = many(spark, sf_dir, high=LEVEL.filter(PEAK.evaluate("greater", 489)), r=LEVEL.extract("space").evaluate("intersects", q.result("high")))
-    frame = out(r["r"])
-    return frame.withColumn("v", F.coalesce("v", F.lit(0.0)))
+    r = many(spark, sf_dir, high=LEVEL.filter(PEAK.evaluate("greater", 489)).assign_space(), r=LEVEL.extract("space").evaluate("intersects", q.result("high")))
+    return out(r["r"])
 
 
 @register("""SELECT time, CAST(year(time) AS DOUBLE) AS year, CAST(quarter(time) AS DOUBLE) AS quarter, CAST(month(time) AS DOUBLE) AS month, CAST(weekofyear(time) AS DOUBLE) AS week, CAST(day(time) AS DOUBLE) AS day,
