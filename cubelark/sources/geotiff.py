@@ -190,6 +190,22 @@ class GeotiffArchive(TableCube):
             raise EmptyDataError(f"there is no archive {src}")
         return found.mapInPandas(unpack, SCHEMA)
 
+    def _native(self, spark: SparkSession, name: str) -> tuple[float, float, float, float]:
+        """The file's own grid, read from it by a small job."""
+        if self.native is None:
+
+            def steps(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for batch in files:
+                    for content in batch["content"]:
+                        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                            tiff = read_geotiff(archive.read(name))
+                        step = lambda v, one: float(v[1] - v[0]) if len(v) > 1 else one
+                        yield pd.DataFrame([(tiff["y"][0], step(tiff["y"], -1.0), tiff["x"][0], step(tiff["x"], 1.0))], columns=["y0", "dy", "x0", "dx"])
+
+            found = spark.read.format("binaryFile").load(self.src).select("content").mapInPandas(steps, "y0 double, dy double, x0 double, dx double").first()
+            self.native = tuple(found)
+        return self.native
+
     def _times(self, file: str) -> list:
         if self.times is not None:
             return self.times(file)

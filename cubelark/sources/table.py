@@ -12,6 +12,17 @@ from ..errors import EmptyDataError
 from ..model import TIME, Axis, CubeArray, X, Y, canonical, fresh
 from .base import CubeSource, Extent
 
+#: Aggregates of resampling to larger cells.
+AGGREGATES = {
+    "average": F.avg,
+    "mode": lambda c: F.mode(c, True),
+    "max": F.max,
+    "min": F.min,
+    "med": F.median,
+    "q1": lambda c: F.percentile(c, F.lit(0.25)),
+    "q3": lambda c: F.percentile(c, F.lit(0.75)),
+}
+
 
 class TableCube(CubeSource):
     """Layers that are columns of tables with the columns time, y and x.
@@ -22,11 +33,17 @@ class TableCube(CubeSource):
     extent, so arrays from them combine without a join and one scan reads just
     the columns in use.  Extents become plain predicates, which reach the scan.
 
+    `native` is the tables' own grid: centre of the first cell and step, as
+    (y0, dy, x0, dx).  With it, an extent with a resolution resamples by the
+    method for each layer's type: `nearest`, or `average`, `mode`, `max`, `min`,
+    `med`, `q1`, `q3` of the cells whose centres lie in the new cell.
+
     `check` runs a small job to raise EmptyDataError for extents without rows.
     """
 
-    def __init__(self, layout: dict, tables: dict[str, DataFrame | Callable[[SparkSession], DataFrame]] | None = None, *, descending: tuple[str, ...] = (), check: bool = False, group_by_solar_day: bool = False, **config):
+    def __init__(self, layout: dict, tables: dict[str, DataFrame | Callable[[SparkSession], DataFrame]] | None = None, *, descending: tuple[str, ...] = (), check: bool = False, group_by_solar_day: bool = False, native: tuple[float, float, float, float] | None = None, **config):
         super().__init__(layout, **config)
+        self.native = native
         self.tables, self.descending, self.check, self.by_day = dict(tables or {}), descending, check, group_by_solar_day
         self._frames: dict[tuple, tuple[DataFrame, int]] = {}
 
@@ -40,10 +57,42 @@ class TableCube(CubeSource):
         """The table within the extent, one frame (and identity) for all its layers."""
         key = (name, extent.key)
         if key not in self._frames:
-            self._frames[key] = (self._cut(self.table(extent.spark, name), extent), fresh())
+            self._frames[key] = (self._cut(self.table(extent.spark, name), extent, name), fresh())
         return self._frames[key]
 
-    def _cut(self, frame: DataFrame, extent: Extent) -> DataFrame:
+    def _native(self, spark: SparkSession, name: str) -> tuple[float, float, float, float] | None:
+        return self.native
+
+    def _methods(self, name: str) -> dict[str, str]:
+        """How each column of a table is resampled."""
+        entries = {r: self.lookup(*r) for r in self.layers()}
+        own = {r: m for r, m in entries.items() if m.get("table", r[0]) == name}
+        return {m.get("column", r[-1]): self.resamplers.get(self.vtype(m), "nearest") for r, m in own.items()}
+
+    def _resampled(self, frame: DataFrame, cells: DataFrame, extent: Extent, native: tuple, methods: dict[str, str]) -> DataFrame:
+        """The frame on the extent's cells.  Cells and source are matched by whole numbers of steps."""
+        y0, dy, x0, dx = native
+        index = lambda c, first, step: F.round((F.col(c) - first) / step).cast("bigint")
+        nearest = [c for c, m in methods.items() if m == "nearest"]
+        others = {c: m for c, m in methods.items() if m != "nearest"}
+        unknown = set(others.values()) - set(AGGREGATES)
+        if unknown:
+            raise NotImplementedError(f"resampling methods {sorted(unknown)}")
+        times = [c for c in (TIME,) if c in frame.columns]
+        found: DataFrame | None = None
+        if nearest:
+            here = cells.withColumns({"__iy": index(Y, y0, dy), "__ix": index(X, x0, dx)})
+            found = frame.select(*times, *nearest, index(Y, y0, dy).alias("__iy"), index(X, x0, dx).alias("__ix")).join(here, ["__iy", "__ix"]).drop("__iy", "__ix")
+        if others:
+            ty, tx = (abs(v) for v in extent.resolution)
+            cell = lambda c, step: F.floor(F.col(c) / step)
+            here = cells.withColumns({"__iy": cell(Y, ty), "__ix": cell(X, tx)})
+            means = frame.groupBy(*times, cell(Y, ty).alias("__iy"), cell(X, tx).alias("__ix")).agg(*[AGGREGATES[m](c).alias(c) for c, m in others.items()])
+            coarse = means.join(here, ["__iy", "__ix"]).drop("__iy", "__ix")
+            found = coarse if found is None else found.join(coarse.drop("feature"), [*times, Y, X], "full")
+        return found
+
+    def _cut(self, frame: DataFrame, extent: Extent, name: str) -> DataFrame:
         columns = frame.columns
         if TIME in columns and extent.time is not None:
             own = extent.time.tz_convert(self.tz)
@@ -53,12 +102,18 @@ class TableCube(CubeSource):
         if X in columns and Y in columns:
             if extent.bounds is not None:
                 x0, y0, x1, y1 = extent.bounds
-                frame = frame.where(F.col(X).between(x0, x1) & F.col(Y).between(y0, y1))
+                # half a step more, so that cells at the edge still find their source
+                my, mx = (abs(v) for v in (extent.resolution or (0, 0)))
+                frame = frame.where(F.col(X).between(x0 - mx, x1 + mx) & F.col(Y).between(y0 - my, y1 + my))
             if extent.space is not None:
                 cells = extent.space.where(F.col("feature").isNotNull())
                 kinds = dict(frame.dtypes)
-                cells = cells.select(F.col(Y).cast(kinds[Y]).alias(Y), F.col(X).cast(kinds[X]).alias(X), "feature")
-                frame = frame.join(cells, [Y, X])
+                native = self._native(extent.spark, name) if extent.resolution is not None else None
+                if native is not None:
+                    frame = self._resampled(frame, cells, extent, native, self._methods(name))
+                else:
+                    cells = cells.select(F.col(Y).cast(kinds[Y]).alias(Y), F.col(X).cast(kinds[X]).alias(X), "feature")
+                    frame = frame.join(cells, [Y, X])
         if self.by_day and TIME in columns:
             frame = self._mosaic(frame)
         return frame

@@ -41,6 +41,28 @@ def test_archive(spark, tmp_path):
         GeotiffArchive(layout, "layers.tar")
 
 
+def test_resampling(spark, tmp_path):
+    bands = np.arange(16, dtype=float).reshape(1, 4, 4)
+    write_geotiff(str(tmp_path / "b.tif"), bands, [3.5, 2.5, 1.5, 0.5], [0.5, 1.5, 2.5, 3.5])
+    with zipfile.ZipFile(tmp_path / "layers.zip", "w") as archive:
+        archive.write(tmp_path / "b.tif", "b.tif")
+    layout = {"reflectance": {"band": {"type": "continuous", "file": "b.tif", "times": ["2024-01-01"]}}}
+    space = SpatialExtent({"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]]}, crs="EPSG:3035")
+
+    def run(method, step):
+        cube = GeotiffArchive(layout, str(tmp_path / "layers.zip"), resamplers={"continuous": method})
+        x = QueryProcessor.parse({"r": q.reflectance("band").reduce("max", "time")}, cube, Ontology(), space, spark=spark, spatial_resolution=(-step, step)).execute()["r"]
+        return {(r.y, r.x): r.v for r in x.df.collect()}
+
+    assert run("nearest", 1) == {(3.5 - i, 0.5 + j): bands[0, i, j] for i in range(4) for j in range(4)}
+    assert run("average", 2) == {(3.0, 1.0): 2.5, (3.0, 3.0): 4.5, (1.0, 1.0): 10.5, (1.0, 3.0): 12.5}
+    assert run("max", 2)[(1.0, 3.0)] == 15
+    with pytest.raises(NotImplementedError):
+        run("lanczos", 2)
+    with pytest.raises(ValueError):
+        GeotiffArchive(layout, "a.zip", resamplers={"continuous": "nothing"})
+
+
 def test_items(spark, tmp_path):
     items = []
     for i, (at, box) in enumerate([("2024-01-01T08:00:00Z", 0), ("2024-01-01T10:00:00Z", 0), ("2024-01-02T08:00:00Z", 0), ("2024-01-03T08:00:00Z", 900)]):
