@@ -15,9 +15,17 @@ from .sources.table import TableCube
 KINDS = ("click", "error", "purchase", "signup", "view")
 
 
-def events_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _within(frame: DataFrame, column: str, extent: Extent | None, unit: str) -> DataFrame:
+    """The rows that an extent in whole units of time can need, by a predicate on the stored column that reaches the scan."""
+    if extent is None or extent.time is None:
+        return frame
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in (extent.time.start, extent.time.end))
+    return frame.where((F.col(column) >= start) & (F.col(column) < end + F.expr(f"INTERVAL 1 {unit}")))
+
+
+def events_cube(spark: SparkSession, sf_dir: str, extent: Extent | None = None) -> DataFrame:
     """time (day), y, x, kind (modal event type, the smallest of equally frequent ones), value, peak, n."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = _within(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", extent, "DAY")
     code = F.lit(None).cast("int")
     for i, kind in enumerate(KINDS, 1):
         code = F.when(F.col("event_type") == kind, i).otherwise(code)
@@ -31,9 +39,9 @@ def events_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell.groupBy("time", "y", "x").agg(F.mode("code", True).alias("kind"), F.avg("value").alias("value"), F.max("value").alias("peak"), F.count("*").alias("n"))
 
 
-def items_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+def items_cube(spark: SparkSession, sf_dir: str, extent: Extent | None = None) -> DataFrame:
     """time (month), y, x, qty, price, discount, tax, flag (modal return flag: 1 A, 2 N, 3 R)."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    items = _within(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_shipdate", extent, "MONTH")
     flag = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).when(F.col("l_returnflag") == "R", 3)
     cell = items.select(
         F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("time"),
@@ -81,7 +89,7 @@ def ontology() -> Ontology:
 
 
 def source(spark: SparkSession, sf_dir: str) -> TableCube:
-    return TableCube(LAYOUT, {"events": lambda s: events_cube(s, sf_dir), "items": lambda s: items_cube(s, sf_dir)})
+    return TableCube(LAYOUT, {"events": lambda s, e: events_cube(s, sf_dir, e), "items": lambda s, e: items_cube(s, sf_dir, e)})
 
 
 def run(spark: SparkSession, sf_dir: str, recipe: dict, features: bool = False, **config) -> Response:

@@ -176,7 +176,7 @@ class GeotiffArchive(TableCube):
         super().__init__(copy.deepcopy(layout), descending=("y",), **config)
         self.src, self.times = src, times
 
-    def table(self, spark: SparkSession, name: str) -> DataFrame:
+    def table(self, spark: SparkSession, name: str, extent: Extent) -> DataFrame:
         src, times = self.src, self._times(name)
 
         def unpack(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

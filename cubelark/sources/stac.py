@@ -49,14 +49,8 @@ class ItemCube(TableCube):
             found.append(item)
         return found
 
-    def frame(self, name: str, extent: Extent):
-        key = (name, extent.key)
-        if key not in self._frames:
-            self._selected = self.within(extent)
-        return super().frame(name, extent)
-
-    def table(self, spark: SparkSession, name: str) -> DataFrame:
-        rows = [(parse_time(i["properties"]["datetime"], "UTC", self.tz), i["assets"][name]["href"]) for i in self._selected if name in i.get("assets", {}) and (self.key is None or i["properties"].get(self.key) == self.layout.get(self.key))]
+    def table(self, spark: SparkSession, name: str, extent: Extent) -> DataFrame:
+        rows = [(parse_time(i["properties"]["datetime"], "UTC", self.tz), i["assets"][name]["href"]) for i in self.within(extent) if name in i.get("assets", {}) and (self.key is None or i["properties"].get(self.key) == self.layout.get(self.key))]
         if not rows:
             return spark.createDataFrame([], SCHEMA)
         times: dict[str, np.datetime64] = {_plain(href): np.datetime64(at) for at, href in rows}

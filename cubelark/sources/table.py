@@ -41,23 +41,24 @@ class TableCube(CubeSource):
     `check` runs a small job to raise EmptyDataError for extents without rows.
     """
 
-    def __init__(self, layout: dict, tables: dict[str, DataFrame | Callable[[SparkSession], DataFrame]] | None = None, *, descending: tuple[str, ...] = (), check: bool = False, group_by_solar_day: bool = False, native: tuple[float, float, float, float] | None = None, **config):
+    def __init__(self, layout: dict, tables: dict[str, DataFrame | Callable[[SparkSession, Extent], DataFrame]] | None = None, *, descending: tuple[str, ...] = (), check: bool = False, group_by_solar_day: bool = False, native: tuple[float, float, float, float] | None = None, **config):
         super().__init__(layout, **config)
         self.native = native
         self.tables, self.descending, self.check, self.by_day = dict(tables or {}), descending, check, group_by_solar_day
         self._frames: dict[tuple, tuple[DataFrame, int]] = {}
 
-    def table(self, spark: SparkSession, name: str) -> DataFrame:
+    def table(self, spark: SparkSession, name: str, extent: Extent) -> DataFrame:
+        """A table as it is; one given as a function gets the extent, to cut before it makes cells."""
         found = self.tables.get(name)
         if found is None:
             return spark.read.parquet(name) if "/" in name else spark.read.table(name)
-        return found(spark) if callable(found) else found
+        return found(spark, extent) if callable(found) else found
 
     def frame(self, name: str, extent: Extent) -> tuple[DataFrame, int]:
         """The table within the extent, one frame (and identity) for all its layers."""
         key = (name, extent.key)
         if key not in self._frames:
-            self._frames[key] = (self._cut(self.table(extent.spark, name), extent, name), fresh())
+            self._frames[key] = (self._cut(self.table(extent.spark, name, extent), extent, name), fresh())
         return self._frames[key]
 
     def _native(self, spark: SparkSession, name: str) -> tuple[float, float, float, float] | None:
