@@ -99,7 +99,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kept = links(df, id_col, text_col).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select(F.col("class_id").alias("__kept")).dropDuplicates()
     named = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     out = df.withColumn("__name", named)
-    return out.join(kept, F.col("__name") == F.col("__kept"), "left_semi").drop("__name")
+    return out.join(kept.hint("shuffle_hash"), F.col("__name") == F.col("__kept"), "left_semi").drop("__name")
 
 
 def _sketches():
@@ -132,7 +132,8 @@ def _linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     schema = "part long, key long, side int, node long, keys array<long>, copies long, size int"
     likely = common.written(tagged.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_by_part(_likely), schema), "likely")
     wanted = likely.select("node").distinct()
-    texts = docs.join(wanted, F.col("name") == F.col("node"), "left_semi").select("name", "text")
+    # the hint keeps one plan at every size: texts are hashed to where the wanted names are, never sorted
+    texts = docs.join(wanted.hint("shuffle_hash"), F.col("name") == F.col("node"), "left_semi").select("name", "text")
     sets = common.map_arrow(texts, _sets, "name long, members binary")
     filled = likely.join(sets, F.col("node") == F.col("name")).drop("name")
     return common.written(filled.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_by_part(_verified), "node long, links long, root long"), "links")
