@@ -37,7 +37,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/cubelark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+#: Tables that `written` made and `discard` may remove, by identity of their frame.
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `written` made and nothing lazy needs any more."""
+    for table in tables:
+        _, path = _PATHS.pop(id(table))
+        _remove(table.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -56,8 +69,9 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
     e = written(e, "edges")
     state = _state(e)
     for _ in range(MOST_ROUNDS):
-        e = written(_small_star(_large_star(e)), "edges")
+        last, e = e, written(_small_star(_large_star(e)), "edges")
         before, state = state, _state(e)
+        discard(last)
         if state == before:
             stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
