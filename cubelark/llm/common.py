@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubelark.plans.components import written  # noqa: F401  operators take it from here
+from cubelark.plans.components import discard, written  # noqa: F401  operators take them from here
 
 #: Longest text, in code points, that shares an Arrow slice with others.
 SLICE_CHARS = 4_000_000

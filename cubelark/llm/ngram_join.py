@@ -131,12 +131,15 @@ def _linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     tagged = leaves.join(nodes.select("node", "copies", "size", "sketch").join(every, "node"), "node").select("part", "key", "side", "node", "keys", "copies", "size", "sketch")
     schema = "part long, key long, side int, node long, keys array<long>, copies long, size int"
     likely = common.written(tagged.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_by_part(_likely), schema), "likely")
+    common.discard(leaves)
     wanted = likely.select("node").distinct()
     # the hint keeps one plan at every size: texts are hashed to where the wanted names are, never sorted
     texts = docs.join(wanted.hint("shuffle_hash"), F.col("name") == F.col("node"), "left_semi").select("name", "text")
     sets = common.map_arrow(texts, _sets, "name long, members binary")
     filled = likely.join(sets, F.col("node") == F.col("name")).drop("name")
-    return common.written(filled.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_by_part(_verified), "node long, links long, root long"), "links")
+    found = common.written(filled.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_by_part(_verified), "node long, links long, root long"), "links")
+    common.discard(likely)
+    return found
 
 
 def _leaves(nodes: DataFrame) -> DataFrame:
@@ -145,10 +148,13 @@ def _leaves(nodes: DataFrame) -> DataFrame:
     #: rows that go on: bucket, coordinates used on its path, sets in the parent
     open_ = nodes.select("node", "sketch", F.explode(F.array(*[F.lit(r + 1).cast("long") for r in range(runs)])).alias("key"), F.lit(0).cast("long").alias("used"), F.lit(-1).cast("long").alias("parent"))
     done: list[DataFrame] = []
+    used_up: list[DataFrame] = []
     for depth in range(MOST_SPLITS):
         children = common.written(common.map_arrow(open_, _split, "node long, key long, used long, parent long"), "buckets")
         sizes = children.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         sized = common.written(children.join(sizes, "key"), "sized")
+        common.discard(children)
+        used_up.append(sized)
         end = (F.col("n") <= LEAF) | ((F.col("parent") > 0) & (F.col("n") > DENSE * F.col("parent"))) | F.lit(depth == MOST_SPLITS - 1)
         done.append(sized.where(end).select("node", "key", "n"))
         rest = sized.where(~end)
@@ -165,7 +171,9 @@ def _leaves(nodes: DataFrame) -> DataFrame:
     part = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high))
     #: side 0 and 1 of a part of two blocks are compared with each other only, side 2 with itself
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") == high).cast("int"))
-    return common.written(spread.select(part.alias("part"), "key", side.cast("int").alias("side"), "node"), "leaves")
+    out = common.written(spread.select(part.alias("part"), "key", side.cast("int").alias("side"), "node"), "leaves")
+    common.discard(*used_up)
+    return out
 
 
 def _split():
