@@ -7,9 +7,9 @@ Inside a range partition Spark's external sort puts equal texts next to each
 other and the window operator compares neighbours in full.
 
 A text that a large share of the rows carry would fill one range.  Rows of such
-hot hashes are salted by identifier: each salt is settled on its own, then the
-few salt winners (at most HOT_KEYS x SALTS rows, whatever the input) are
-compared, again in full, and the result is mapped back.
+hot hashes are salted by identifier, so each salt is sorted on its own; what all
+salts of a hot text come to is aggregated map-side by the whole text (there are
+about HOT_KEYS such texts at most, whatever the input) and joined back.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
 
 #: A hash counts as hot from this share of all rows on, so there are at most HOT_KEYS of them.
 HOT_KEYS = 2048
@@ -65,7 +64,7 @@ def _judged(df: DataFrame, id_col: str, text_col: str, keep: str, carry: list[st
     routed = (
         docs.join(F.broadcast(hot), F.col("h") == F.col("hot_h"), "left")
         .withColumn("hot", F.col("hot_h").isNotNull())
-        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)))
+        .withColumn("salt", F.when(F.col("hot"), _salt()).otherwise(F.lit(0)))
         .withColumn("route", F.substring("text", 1, ROUTE_CHARS))
         .select("doc_id", "text", "h", "hot", "salt", "route", "row")
         .repartitionByRange("route", "h", "salt")
@@ -76,27 +75,24 @@ def _judged(df: DataFrame, id_col: str, text_col: str, keep: str, carry: list[st
         .withColumn("local_keep", F.first("doc_id").over(same.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .withColumn("local_size", F.count("*").over(same))
         .where(F.lit(not carry) | (F.col("local_rank") == 1))
-        .select("doc_id", "hot", "salt", "local_rank", "local_keep", "local_size", F.sha2("text", 256).alias("text_sha256"), F.when(F.lit(bool(carry)) | (F.col("hot") & (F.col("local_rank") == 1)), F.col("text")).alias("text"), "row")
+        .select("doc_id", "hot", "salt", "local_rank", "local_keep", "local_size", F.sha2("text", 256).alias("text_sha256"), F.when(F.lit(bool(carry)), F.col("text")).alias("text"), "row")
     )
-    return _across_salts(common.written(local, "dedup"), best, text_col, carry)
-
-
-def _across_salts(settled: DataFrame, best, text_col: str, carry: list[str]) -> DataFrame:
-    """Joins the salts of hot texts; all other rows are settled already."""
-    across = (
-        settled.where("hot AND local_rank = 1")
-        .groupBy("text")
-        .agg(best("local_keep").alias("all_keep"), F.sum("local_size").alias("all_size"), F.min("salt").alias("first_salt"), F.collect_list("salt").alias("salts"))
-    )  # at most HOT_KEYS rows with at most SALTS salts each
-    of_salt = across.select("all_keep", "all_size", "first_salt", F.sha2("text", 256).alias("sha"), F.explode("salts").alias("in_salt"))
-    joined = settled.join(F.broadcast(of_salt), F.col("hot") & (F.col("salt") == F.col("in_salt")) & (F.col("text_sha256") == F.col("sha")), "left")
+    # what all salts of a hot text come to: map-side aggregation leaves one row for each of these texts and task
+    salted = docs.join(F.broadcast(hot), F.col("h") == F.col("hot_h")).select("text", "doc_id", _salt().alias("salt"))
+    across = salted.groupBy("text").agg(best("doc_id").alias("all_keep"), F.count("*").alias("all_size"), F.min("salt").alias("first_salt"))
+    across = across.select(F.sha2("text", 256).alias("sha"), "all_keep", "all_size", "first_salt")  # about HOT_KEYS rows of fixed length at most
+    joined = local.join(F.broadcast(across), F.col("hot") & (F.col("text_sha256") == F.col("sha")), "left")
     wins = F.when(F.col("hot"), F.when(F.col("all_keep").isNull(), F.col("salt") == F.col("first_salt")).otherwise(F.col("doc_id").eqNullSafe(F.col("all_keep")))).otherwise(F.lit(True))
-    row = [F.when(~F.col("row.no_text"), F.col("text")).alias(f"c{i}") if c == text_col else F.col("row")[f"c{i}"].alias(f"c{i}") for i, c in enumerate(carry)]
+    whole = [F.when(~F.col("row.no_text"), F.col("text")).alias(f"c{i}") if c == text_col else F.col("row")[f"c{i}"].alias(f"c{i}") for i, c in enumerate(carry)]
     return joined.select(
         "doc_id",
         F.when(F.col("hot"), F.col("all_keep")).otherwise(F.col("local_keep")).alias("keep_id"),
         F.when(F.col("hot"), F.col("all_size")).otherwise(F.col("local_size")).cast("long").alias("group_size"),
         ((F.col("local_rank") == 1) & wins).alias("kept"),
         "text_sha256",
-        F.struct(F.lit(1).alias("one"), *row).alias("row"),
+        F.struct(F.lit(1).alias("one"), *whole).alias("row"),
     )
+
+
+def _salt():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
