@@ -16,6 +16,7 @@ so the model's size does not depend on the input's.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,9 +31,12 @@ from . import common
 #: Characters of a gram at most; grams up to SHARED are counted over both classes together.
 ORDER = 7
 SHARED = 3
-DISCOUNT = 0.75
+#: Taken off every count and given to the backoff; the classes' own counts give more, so that what
+#: was seen once or twice in one class only counts for neither.
+SHARED_DISCOUNT = 0.75
+CLASS_DISCOUNT = 2.5
 #: Entries of each order's tables.
-BUCKETS = 1 << 19
+BUCKETS = 1 << 18
 #: Entries that reach the driver in one row.
 BLOCK = 1 << 13
 #: Labelled documents that the calibration is fitted on at most.
@@ -61,7 +65,7 @@ def gram_hashes(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndar
     with np.errstate(over="ignore"):
         for k in range(1, ORDER + 1):
             shifted = np.zeros(len(codes), dtype=np.uint64)
-            shifted[k - 1 :] = codes[: len(codes) - k + 1]
+            shifted[k - 1 :] = codes[: max(0, len(codes) - k + 1)]
             hashes.append(hashes[-1] + shifted * _POWERS[k - 1])
     return hashes, at, np.repeat(np.arange(len(words)), sizes)
 
@@ -90,7 +94,10 @@ def bucket(hashes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Hashed tables by order: discounted counts of grams and, for contexts, 1 / count and backoff weight, per class."""
+    """Hashed tables by order: discounted counts of grams and, for contexts, 1 / count and backoff weight, per class.
+
+    Pickled it is compressed: over few documents the tables are almost empty.
+    """
 
     grams: dict[int, np.ndarray]  # order -> (2, BUCKETS)
     norms: dict[int, np.ndarray]
@@ -98,6 +105,15 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.array([-1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0]))
     alphabet: float = 256.0
 
+    def __getstate__(self) -> tuple:
+        packed = {n: {k: zlib.compress(t.tobytes(), 1) for k, t in getattr(self, n).items()} for n in ("grams", "norms", "backoffs")}
+        return packed, self.weights, self.alphabet
+
+    def __setstate__(self, state: tuple) -> None:
+        packed, self.weights, self.alphabet = state
+        for name, tables in packed.items():
+            setattr(self, name, {k: np.frombuffer(zlib.decompress(t), dtype=np.float32).reshape(2, -1) for k, t in tables.items()})
+
     def ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each word the sum over its characters of log P(toxic) - log P(ordinary), and how many characters."""
         hashes, at, of = gram_hashes(words)
@@ -164,7 +180,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .select("doc_id", "label", F.when(F.col("fold") <= 2, 1).otherwise(2).alias("half"))
     )
     docs = common.documents(df, id_col, text_col)
-    marked = docs.join(marks, "doc_id").select("text", "label", "half")
+    # words travel compressed to the labels, and the hint keeps one plan at every size
+    marked = common.map_arrow(docs, _packed_words, "doc_id long, words binary").join(marks.hint("shuffle_hash"), "doc_id").select("words", "label", "half")
     words = marked.mapInArrow(_count_words, "word string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
     keys = ["k", "gram", "context", "suffix", "suffix_context", "initial"]
     grams = words.mapInArrow(_count_grams, "k int, gram int, context int, suffix int, suffix_context int, initial boolean, " + ", ".join(f"{c} long" for c in COUNTS))
@@ -173,23 +190,36 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCUMENTS))
     x, y = [], []
     for half in (1, 2):
-        other = _tables(grams, F.col(f"toxic_{3 - half}"), F.col(f"ordinary_{3 - half}"))
+        other = df.sparkSession.sparkContext.broadcast(_tables(grams, F.col(f"toxic_{3 - half}"), F.col(f"ordinary_{3 - half}")))
         seen = _scored(docs.join(draw.where(F.col("half") == half), "doc_id").select("text", "label"), other, "label int, features array<double>", ["label"]).collect()
+        other.destroy()
+        del other
         for row in sorted([*map(float, r.features), r.label] for r in seen):
             x.append(row[:-1])
             y.append(row[-1])
     model = _tables(grams, F.col("toxic_1") + F.col("toxic_2"), F.col("ordinary_1") + F.col("ordinary_2"))
+    common.discard(grams)
     model.weights = calibrate(np.array(x).reshape(len(y), len(FEATURES)), np.array(y, dtype=float), model.weights)
     return model
 
 
+def _packed_words():
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed = [zlib.compress(" ".join(words_of(t)).encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()]
+        return pa.record_batch([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "words"])
+
+    return work
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the documents by half and label, counted before they are shuffled."""
     for batch in batches:
         for part in common.slices(batch):
             counts: list[Counter[str]] = [Counter() for _ in COUNTS]
-            for text, label, half in zip(*(part.column(c).to_pylist() for c in ("text", "label", "half")), strict=True):
-                counts[2 * (half - 1) + 1 - label].update(words_of(text))
+            for packed, label, half in zip(*(part.column(c).to_pylist() for c in ("words", "label", "half")), strict=True):
+                counts[2 * (half - 1) + 1 - label].update(zlib.decompress(packed).decode("utf-8", "surrogatepass").split(" "))
+            for c in counts:
+                c.pop("", None)
             every = list(set().union(*counts))
             yield pa.record_batch([pa.array(every, pa.string()), *[pa.array([c[w] for w in every], pa.int64()) for c in counts]], ["word", *COUNTS])
 
@@ -224,19 +254,19 @@ def _tables(grams: DataFrame, toxic, ordinary) -> Model:
     every = own.unionByName(extended).groupBy("k", "gram", "context").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     pooled, both = F.col("k") <= SHARED, F.col("t") + F.col("o")
     every = every.select("k", "gram", "context", F.when(pooled, both).otherwise(F.col("t")).alias("t"), F.when(pooled, both).otherwise(F.col("o")).alias("o"))
-    sums = ("t", "o", "types_t", "types_o")
+    sums = ("t", "o", "left_t", "left_o")
     entries = every.mapInArrow(_bucketed, "k int, entry int, kind int, " + ", ".join(f"{c} double" for c in sums)).groupBy("kind", "k", "entry").agg(*[F.sum(c).alias(c) for c in sums])
-    blocks = entries.groupBy("kind", "k", F.floor(F.col("entry") / BLOCK).alias("block")).applyInPandas(_packed, "kind int, k int, block int, data binary").collect()  # 2 x ORDER x BUCKETS / BLOCK rows at most
+    blocks = entries.groupBy("kind", "k", F.floor(F.col("entry") / BLOCK).alias("block")).applyInPandas(_packed, "kind int, k int, block int, data binary").toLocalIterator()  # 2 x ORDER x BUCKETS / BLOCK rows at most
     model = Model({k: np.zeros((2, BUCKETS), np.float32) for k in range(1, ORDER + 1)}, {k: np.zeros((2, BUCKETS), np.float32) for k in range(1, ORDER + 1)}, {k: np.ones((2, BUCKETS), np.float32) for k in range(1, ORDER + 1)})
     for row in blocks:
         at = slice(row.block * BLOCK, (row.block + 1) * BLOCK)
         data = np.frombuffer(row.data, dtype=np.float32).reshape(len(sums), -1)
         if row.kind == 0:
-            model.grams[row.k][:, at] = np.maximum(data[:2] - DISCOUNT, 0)
+            model.grams[row.k][:, at] = data[:2] - data[2:]
         else:
             total = np.where(data[:2] > 0, data[:2], 1.0)
             model.norms[row.k][:, at] = np.where(data[:2] > 0, 1.0 / total, 0.0)
-            model.backoffs[row.k][:, at] = np.where(data[:2] > 0, DISCOUNT * data[2:] / total, 1.0)
+            model.backoffs[row.k][:, at] = np.where(data[:2] > 0, data[2:] / total, 1.0)
     return model
 
 
@@ -245,19 +275,20 @@ def _packed(rows):
     import pandas as pd
 
     data = np.zeros((4, BLOCK), dtype=np.float32)
-    data[:, rows.entry.to_numpy() % BLOCK] = rows[["t", "o", "types_t", "types_o"]].to_numpy().T
+    data[:, rows.entry.to_numpy() % BLOCK] = rows[["t", "o", "left_t", "left_o"]].to_numpy().T
     return pd.DataFrame({"kind": [rows.kind.iloc[0]], "k": [rows.k.iloc[0]], "block": [rows.entry.iloc[0] // BLOCK], "data": [data.tobytes()]})
 
 
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each gram for its own entry and for its context's, summed within the batch."""
+    """Counts and what is taken off them, each gram for its own entry and for its context's, summed within the batch."""
     for batch in batches:
         k, t, o = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "t", "o"))
+        off = np.where(k <= SHARED, SHARED_DISCOUNT, CLASS_DISCOUNT)
         for kind, name in enumerate(("gram", "context")):
             entry = entry_of(batch.column(name).to_numpy(zero_copy_only=False).view(np.uint32))
             keys, group = np.unique(k.astype(np.int64) * BUCKETS + entry, return_inverse=True)
-            sums = [pa.array(np.bincount(group, weights=v)) for v in (t, o, (t > 0).astype(float), (o > 0).astype(float))]
-            yield pa.record_batch([pa.array((keys // BUCKETS).astype(np.int32)), pa.array((keys % BUCKETS).astype(np.int32)), pa.array(np.full(len(keys), kind, dtype=np.int32)), *sums], ["k", "entry", "kind", "t", "o", "types_t", "types_o"])
+            sums = [pa.array(np.bincount(group, weights=v)) for v in (t, o, np.minimum(t, off), np.minimum(o, off))]
+            yield pa.record_batch([pa.array((keys // BUCKETS).astype(np.int32)), pa.array((keys % BUCKETS).astype(np.int32)), pa.array(np.full(len(keys), kind, dtype=np.int32)), *sums], ["k", "entry", "kind", "t", "o", "left_t", "left_o"])
 
 
 class Scorer:
@@ -283,9 +314,7 @@ class Scorer:
         return out
 
 
-def _scored(rows: DataFrame, model: Model, schema: str, keep: list[str]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
+def _scored(rows: DataFrame, shared, schema: str, keep: list[str]) -> DataFrame:
     def make():
         scorer = Scorer(shared.value)
 
@@ -304,7 +333,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     A null or empty text has no words and gets the score of no evidence.  `log_ratio` is
     the difference of the length-normalised log-likelihoods, in nats per 100 characters.
     """
-    x = _scored(common.documents(df, id_col, text_col), model, "doc_id long, features array<double>", ["doc_id"])
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    x = _scored(common.documents(df, id_col, text_col), shared, "doc_id long, features array<double>", ["doc_id"])
     z = sum((F.col("features")[i] * F.lit(float(w)) for i, w in enumerate(model.weights)), F.lit(0.0))
     value = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
     return x.select("doc_id", value.alias("score"), F.col("features")[1].alias("log_ratio")).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "log_ratio")
