@@ -20,7 +20,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).withColumn("held_out", toxicity.fold() == 0)
+    scored = toxicity.score(docs, model)
+    model.discard()
+    return scored.withColumn("held_out", toxicity.fold() == 0)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

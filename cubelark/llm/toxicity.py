@@ -8,9 +8,12 @@ document is judged by the difference of its length-normalised log-likelihoods,
 as a whole and over its most telling words, put on a 0 to 1 scale by a logistic
 calibration on labelled documents that the models have not seen.
 
-Counts come from all labelled documents of the training folds and are summed by
-Spark.  What reaches the workers is hashed into BUCKETS entries for each order,
-so the model's size does not depend on the input's.
+Counts come from all labelled documents of the training folds.  They are keyed by
+the grams themselves and stay a table of one row per distinct gram, however many
+there are.  Grams and words are scored by joins with that table.  Workers get the
+scores of the TABLE_WORDS most frequent words at most; the scores of all other
+words are joined to the documents, so what is broadcast is bounded and the result
+does not depend on the bound.
 """
 
 from __future__ import annotations
@@ -35,14 +38,18 @@ SHARED = 3
 #: was seen once or twice in one class only counts for neither.
 SHARED_DISCOUNT = 0.75
 CLASS_DISCOUNT = 2.5
-#: Entries of each order's tables.
+#: Frequent words whose scores are broadcast at most.
+TABLE_WORDS = 1 << 18
+#: Words that a task counts before it passes them on.
+COUNTED_WORDS = 200_000
+#: Scores of words are whole numbers of this part, so sums do not depend on their order.
+UNIT = 1e-9
+#: Groups of `bucket`; counts and scores do not use them.
 BUCKETS = 1 << 18
-#: Entries that reach the driver in one row.
-BLOCK = 1 << 13
 #: Labelled documents that the calibration is fitted on at most.
 CALIBRATION_DOCUMENTS = 6_000
-#: Scores of words that a worker keeps; a full store starts anew.
-CACHE_ENTRIES = 300_000
+#: Initial probability of a character.
+ALPHABET = 256.0
 
 WORD = re.compile(r"\w+")
 START, END = "\x02", "\x03"
@@ -70,72 +77,32 @@ def gram_hashes(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndar
     return hashes, at, np.repeat(np.arange(len(words)), sizes)
 
 
-def contexts(hashes: list[np.ndarray], k: int) -> np.ndarray:
-    """Hash of the k - 1 characters before each position: the gram without its last character."""
-    before = np.zeros(len(hashes[k]), dtype=np.uint64)
-    before[1:] = hashes[k - 1][:-1]
-    return before
-
-
-def key_of(hashes: np.ndarray) -> np.ndarray:
-    """The 32 bits by which grams and contexts are told apart when they are counted."""
+def bucket(hashes: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return ((hashes * np.uint64(_MULTIPLIER)) >> np.uint64(32)).astype(np.uint32)
+        return ((hashes * np.uint64(_MULTIPLIER)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def entry_of(keys: np.ndarray) -> np.ndarray:
-    """Where a key stands in the tables: by its leading bits."""
-    return (keys >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64)
+def grams_of(word: str) -> list[str]:
+    """All grams of a marked word but the opening mark alone."""
+    marked = START + word + END
+    return [marked[i - k : i] for i in range(2, len(marked) + 1) for k in range(1, min(ORDER, i) + 1)]
 
 
-def bucket(hashes: np.ndarray) -> np.ndarray:
-    return entry_of(key_of(hashes))
+def longest_grams_of(word: str) -> list[str]:
+    """For each character after the opening mark the longest gram that ends with it."""
+    marked = START + word + END
+    return [marked[max(0, i - ORDER) : i] for i in range(2, len(marked) + 1)]
 
 
 @dataclass
 class Model:
-    """Hashed tables by order: discounted counts of grams and, for contexts, 1 / count and backoff weight, per class.
+    """Kneser-Ney counts of every distinct gram and the calibration's weights."""
 
-    Pickled it is compressed: over few documents the tables are almost empty.
-    """
-
-    grams: dict[int, np.ndarray]  # order -> (2, BUCKETS)
-    norms: dict[int, np.ndarray]
-    backoffs: dict[int, np.ndarray]
+    grams: DataFrame  # gram, and toxic and ordinary counts t_*, o_* for each name in MODELS
     weights: np.ndarray = field(default_factory=lambda: np.array([-1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0]))
-    alphabet: float = 256.0
-
-    def __getstate__(self) -> tuple:
-        packed = {n: {k: zlib.compress(t.tobytes(), 1) for k, t in getattr(self, n).items()} for n in ("grams", "norms", "backoffs")}
-        return packed, self.weights, self.alphabet
 
-    def __setstate__(self, state: tuple) -> None:
-        packed, self.weights, self.alphabet = state
-        for name, tables in packed.items():
-            setattr(self, name, {k: np.frombuffer(zlib.decompress(t), dtype=np.float32).reshape(2, -1) for k, t in tables.items()})
-
-    def ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the sum over its characters of log P(toxic) - log P(ordinary), and how many characters."""
-        hashes, at, of = gram_hashes(words)
-        p = np.full((2, len(at)), 1.0 / self.alphabet)
-        for k in range(1, ORDER + 1):
-            here = np.flatnonzero((at >= k - 1) & (at >= 1))
-            if not len(here):
-                break
-            gram, context = bucket(hashes[k][here]), bucket(contexts(hashes, k)[here])
-            p[:, here] = self.grams[k][:, gram] * self.norms[k][:, context] + self.backoffs[k][:, context] * p[:, here]
-        ratio = np.where(at >= 1, np.log(p[0]) - np.log(p[1]), 0.0)
-        return np.bincount(of, weights=ratio, minlength=len(words)), np.bincount(of, weights=(at >= 1).astype(float), minlength=len(words))
-
-
-def features(words: list[str], ratio: list[float], sizes: list[float]) -> list[float]:
-    """What the calibration sees of a document: never its label, language, source or identifier."""
-    if not words:
-        return [1.0] + [0.0] * (len(FEATURES) - 1)
-    top = sorted(set(zip(ratio, words, strict=True)), reverse=True)[:3]
-    best = [max(-4.0, min(r, 12.0)) for r, _ in top] + [0.0] * (3 - len(top))
-    telling = sum(r for r in ratio if r > 2.0)
-    return [1.0, 100.0 * sum(ratio) / sum(sizes), *best, float(np.log1p(telling)), float(np.log1p(len(words)))]
+    def discard(self) -> None:
+        common.discard(self.grams)
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -163,6 +130,8 @@ def fold(column: str = "doc_id"):
 
 #: Toxic and ordinary counts of either half of the training folds.
 COUNTS = ("toxic_1", "ordinary_1", "toxic_2", "ordinary_2")
+#: Models by name and their counts: of the other half, for the calibration, and of both.
+MODELS = {"1": (("toxic_2",), ("ordinary_2",)), "2": (("toxic_1",), ("ordinary_1",)), "all": (("toxic_1", "toxic_2"), ("ordinary_1", "ordinary_2"))}
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -183,22 +152,21 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # words travel compressed to the labels, and the hint keeps one plan at every size
     marked = common.map_arrow(docs, _packed_words, "doc_id long, words binary").join(marks.hint("shuffle_hash"), "doc_id").select("words", "label", "half")
     words = marked.mapInArrow(_count_words, "word string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    keys = ["k", "gram", "context", "suffix", "suffix_context", "initial"]
-    grams = words.mapInArrow(_count_grams, "k int, gram int, context int, suffix int, suffix_context int, initial boolean, " + ", ".join(f"{c} long" for c in COUNTS))
-    grams = common.written(grams.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS]), "grams")
+    grams = common.written(words.mapInArrow(_count_grams, "gram string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]), "grams")
+    model = Model(common.written(_kneser_ney(grams), "model"))
+    common.discard(grams)
 
     draw = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCUMENTS))
+    sample = common.written(docs.join(draw, "doc_id").select("text", "label", "half"), "sample")
+    ratios = word_ratios(model, sample, ("1", "2"))
     x, y = [], []
     for half in (1, 2):
-        other = df.sparkSession.sparkContext.broadcast(_tables(grams, F.col(f"toxic_{3 - half}"), F.col(f"ordinary_{3 - half}")))
-        seen = _scored(docs.join(draw.where(F.col("half") == half), "doc_id").select("text", "label"), other, "label int, features array<double>", ["label"]).collect()
-        other.destroy()
-        del other
-        for row in sorted([*map(float, r.features), r.label] for r in seen):
+        frame, base = _scored(sample.where(F.col("half") == half), ratios, str(half), ["label"])
+        for row in sorted([*map(float, r.features), r.label] for r in frame.select("features", "label").collect()):
             x.append(row[:-1])
             y.append(row[-1])
-    model = _tables(grams, F.col("toxic_1") + F.col("toxic_2"), F.col("ordinary_1") + F.col("ordinary_2"))
-    common.discard(grams)
+        common.discard(base)
+    common.discard(ratios, sample)
     model.weights = calibrate(np.array(x).reshape(len(y), len(FEATURES)), np.array(y, dtype=float), model.weights)
     return model
 
@@ -228,103 +196,172 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Grams of all orders with the counts of the words they come from, summed within the batch."""
     for batch in batches:
         for part in common.slices(batch):
-            hashes, at, of = gram_hashes(part.column("word").to_pylist())
-            counts = np.array([part.column(c).to_numpy(zero_copy_only=False) for c in COUNTS], dtype=float)
-            for k in range(1, ORDER + 1):
-                here = np.flatnonzero((at >= k - 1) & (at >= 1))
-                if not len(here):
-                    continue
-                _, first, group = np.unique(hashes[k][here], return_index=True, return_inverse=True)
-                sums = [np.bincount(group, weights=c[of[here]]).astype(np.int64) for c in counts]
-                own = here[first]
-                columns = [hashes[k], contexts(hashes, k), hashes[k - 1], contexts(hashes, k - 1) if k > 1 else hashes[0]]
-                arrays = [pa.array(np.full(len(own), k, dtype=np.int32)), *[pa.array(key_of(c[own]).view(np.int32)) for c in columns], pa.array(at[own] == k - 1), *map(pa.array, sums)]
-                yield pa.record_batch(arrays, ["k", "gram", "context", "suffix", "suffix_context", "initial", *COUNTS])
+            known: dict[str, int] = {}
+            ids, sizes = [], []
+            for word in part.column("word").to_pylist():
+                own = grams_of(word)
+                ids += [known.setdefault(g, len(known)) for g in own]
+                sizes.append(len(own))
+            counts = [np.repeat(part.column(c).to_numpy(zero_copy_only=False).astype(float), sizes) for c in COUNTS]
+            sums = [pa.array(np.bincount(ids, weights=c, minlength=len(known)).astype(np.int64)) for c in counts]
+            yield pa.record_batch([pa.array(list(known), pa.string()), *sums], ["gram", *COUNTS])
 
 
-def _tables(grams: DataFrame, toxic, ordinary) -> Model:
-    """Kneser-Ney counts in hashed tables.
+def _kneser_ney(grams: DataFrame) -> DataFrame:
+    """Kneser-Ney counts: gram, and t_* and o_* for each model.
 
     Grams of the full order, or that open a word, keep their counts; shorter
     ones count the different grams that extend them to the left.
     """
-    grams = grams.select("k", "gram", "context", "suffix", "suffix_context", "initial", toxic.cast("double").alias("t"), ordinary.cast("double").alias("o")).where("t > 0 OR o > 0")
-    own = grams.where((F.col("k") == ORDER) | F.col("initial")).select("k", "gram", "context", "t", "o")
-    extended = grams.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("gram"), F.col("suffix_context").alias("context")).agg(F.sum((F.col("t") > 0).cast("double")).alias("t"), F.sum((F.col("o") > 0).cast("double")).alias("o"))
-    every = own.unionByName(extended).groupBy("k", "gram", "context").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    pooled, both = F.col("k") <= SHARED, F.col("t") + F.col("o")
-    every = every.select("k", "gram", "context", F.when(pooled, both).otherwise(F.col("t")).alias("t"), F.when(pooled, both).otherwise(F.col("o")).alias("o"))
-    sums = ("t", "o", "left_t", "left_o")
-    entries = every.mapInArrow(_bucketed, "k int, entry int, kind int, " + ", ".join(f"{c} double" for c in sums)).groupBy("kind", "k", "entry").agg(*[F.sum(c).alias(c) for c in sums])
-    blocks = entries.groupBy("kind", "k", F.floor(F.col("entry") / BLOCK).alias("block")).applyInPandas(_packed, "kind int, k int, block int, data binary").toLocalIterator()  # 2 x ORDER x BUCKETS / BLOCK rows at most
-    model = Model({k: np.zeros((2, BUCKETS), np.float32) for k in range(1, ORDER + 1)}, {k: np.zeros((2, BUCKETS), np.float32) for k in range(1, ORDER + 1)}, {k: np.ones((2, BUCKETS), np.float32) for k in range(1, ORDER + 1)})
-    for row in blocks:
-        at = slice(row.block * BLOCK, (row.block + 1) * BLOCK)
-        data = np.frombuffer(row.data, dtype=np.float32).reshape(len(sums), -1)
-        if row.kind == 0:
-            model.grams[row.k][:, at] = data[:2] - data[2:]
+    columns = {f"{c}_{name}": sum((F.col(p) for p in parts), F.lit(0)) for name, both in MODELS.items() for c, parts in zip("to", both, strict=True)}
+    grams = grams.select("gram", *[v.cast("double").alias(c) for c, v in columns.items()])
+    own = grams.where((F.length("gram") == ORDER) | F.startswith("gram", F.lit(START)))
+    extended = grams.where(F.length("gram") > 1).groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(*[F.sum((F.col(c) > 0).cast("double")).alias(c) for c in columns])
+    pooled = F.length("gram") <= SHARED
+    each = [F.when(pooled, F.col(f"t_{n}") + F.col(f"o_{n}")).otherwise(F.col(f"{c}_{n}")).alias(f"{c}_{n}") for n in MODELS for c in "to"]
+    return own.unionByName(extended).select("gram", *each)  # no gram is in both
+
+
+def word_ratios(model: Model, texts: DataFrame, names: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """A written table of the texts' words: word, n (how often), and for each model ratio_*.
+
+    A ratio is the sum over a word's characters of log P(toxic) - log P(ordinary), in UNIT.
+    A gram's probability needs that of the gram without its first character, so the orders
+    are joined from the shortest on; every join is on distinct grams.
+    """
+    words = common.written(texts.select(F.col(text_col).alias("text")).mapInArrow(_vocabulary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    columns = [f"{c}_{n}" for n in names for c in "to"]
+    off = F.when(F.length("gram") <= SHARED, SHARED_DISCOUNT).otherwise(CLASS_DISCOUNT)
+    counts = model.grams.select("gram", *columns)
+    context = F.expr("substring(gram, 1, length(gram) - 1)").alias("context")
+    sums = [f(v).alias(f"{s}_{c}") for c in columns for s, f, v in (("total", F.sum, F.col(c)), ("left", F.sum, F.least(F.col(c), off)))]
+    contexts = counts.groupBy(context).agg(*sums)
+    asked = words.select("word").mapInArrow(_asked, "gram string").distinct()
+    seen = asked.join(counts, "gram", "left").select("gram", context, *[F.greatest(F.coalesce(F.col(c), F.lit(0.0)) - off, F.lit(0.0)).alias(c) for c in columns]).join(contexts, "context", "left")
+    here = [v for c in columns for v in (F.when(F.col(f"total_{c}") > 0, F.col(c) / F.col(f"total_{c}")).otherwise(0.0).alias(f"own_{c}"), F.when(F.col(f"total_{c}") > 0, F.col(f"left_{c}") / F.col(f"total_{c}")).otherwise(1.0).alias(f"back_{c}"))]
+    parts = common.written(seen.select("gram", *here), "parts")
+    levels: list[DataFrame] = []
+    for k in range(1, ORDER + 1):
+        level = parts.where(F.length("gram") == k)
+        if k == 1:
+            level = level.select("gram", *[(F.col(f"own_{c}") + F.col(f"back_{c}") / ALPHABET).alias(f"p_{c}") for c in columns])
         else:
-            total = np.where(data[:2] > 0, data[:2], 1.0)
-            model.norms[row.k][:, at] = np.where(data[:2] > 0, 1.0 / total, 0.0)
-            model.backoffs[row.k][:, at] = np.where(data[:2] > 0, data[2:] / total, 1.0)
-    return model
+            shorter = levels[-1].withColumnRenamed("gram", "suffix")
+            level = level.withColumn("suffix", F.expr("substring(gram, 2)")).join(shorter, "suffix").select("gram", *[(F.col(f"own_{c}") + F.col(f"back_{c}") * F.col(f"p_{c}")).alias(f"p_{c}") for c in columns])
+        levels.append(common.written(level, f"order-{k}"))
+    ratios = [F.round((F.log(f"p_t_{n}") - F.log(f"p_o_{n}")) / UNIT).cast("long").alias(f"ratio_{n}") for n in names]
+    longest = levels[-1].select("gram", *ratios)
+    for level in levels[:-1]:
+        longest = longest.unionByName(level.where(F.startswith("gram", F.lit(START))).select("gram", *ratios))
+    places = words.mapInArrow(_places, "word string, n long, gram string")
+    out = common.written(places.join(longest, "gram").groupBy("word", "n").agg(*[F.sum(f"ratio_{n}").alias(f"ratio_{n}") for n in names]), "ratios")
+    common.discard(words, parts, *levels)
+    return out
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the texts and how often, summed before they are shuffled."""
+    counts: Counter[str] = Counter()
+
+    def take() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        counts.clear()
+        return out
 
+    for batch in batches:
+        for text in batch.column("text"):
+            counts.update(words_of(text.as_py() or ""))
+            if len(counts) > COUNTED_WORDS:
+                yield take()
+    yield take()
 
-def _packed(rows):
-    """One block of a table, dense, as bytes."""
-    import pandas as pd
 
-    data = np.zeros((4, BLOCK), dtype=np.float32)
-    data[:, rows.entry.to_numpy() % BLOCK] = rows[["t", "o", "left_t", "left_o"]].to_numpy().T
-    return pd.DataFrame({"kind": [rows.kind.iloc[0]], "k": [rows.k.iloc[0]], "block": [rows.entry.iloc[0] // BLOCK], "data": [data.tobytes()]})
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different grams of each batch of words."""
+    for batch in batches:
+        for part in common.slices(batch):
+            own = {g for word in part.column("word").to_pylist() for g in grams_of(word)}
+            yield pa.record_batch([pa.array(list(own), pa.string())], ["gram"])
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts and what is taken off them, each gram for its own entry and for its context's, summed within the batch."""
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word's characters by the longest gram that ends there."""
     for batch in batches:
-        k, t, o = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "t", "o"))
-        off = np.where(k <= SHARED, SHARED_DISCOUNT, CLASS_DISCOUNT)
-        for kind, name in enumerate(("gram", "context")):
-            entry = entry_of(batch.column(name).to_numpy(zero_copy_only=False).view(np.uint32))
-            keys, group = np.unique(k.astype(np.int64) * BUCKETS + entry, return_inverse=True)
-            sums = [pa.array(np.bincount(group, weights=v)) for v in (t, o, np.minimum(t, off), np.minimum(o, off))]
-            yield pa.record_batch([pa.array((keys // BUCKETS).astype(np.int32)), pa.array((keys % BUCKETS).astype(np.int32)), pa.array(np.full(len(keys), kind, dtype=np.int32)), *sums], ["k", "entry", "kind", "t", "o", "left_t", "left_o"])
-
-
-class Scorer:
-    """Scores documents with a bounded store of word scores."""
-
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def features(self, texts: list[str]) -> list[list[float]]:
-        split = [words_of(t) for t in texts]
-        every = set().union(*split)
-        if len(self.known) + len(every) > CACHE_ENTRIES:
-            self.known.clear()
-        missing = list(every.difference(self.known))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            ratio, sizes = self.model.ratios(part)
-            self.known.update(zip(part, zip(ratio.tolist(), sizes.tolist(), strict=True), strict=True))
-        out = []
-        for words in split:
-            ratio, sizes = zip(*map(self.known.__getitem__, words), strict=True) if words else ((), ())
-            out.append(features(words, ratio, sizes))
-        return out
+        for part in common.slices(batch):
+            grams = [longest_grams_of(w) for w in part.column("word").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
+            yield pa.record_batch([part.column("word").take(at), part.column("n").take(at), pa.array([g for own in grams for g in own], pa.string())], ["word", "n", "gram"])
+
+
+def _frequent(ratios: DataFrame, name: str, most: int) -> dict[str, int]:
+    """Ratios of at most `most` words, all that are more frequent than some number."""
+    steps = F.when(F.col("n") < 64, F.col("n")).otherwise((F.log2("n") * 11).cast("long"))
+    ranks = ratios.groupBy(steps.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()  # some hundred rows at most
+    total, least = 0, None
+    for row in ranks:
+        total += row.words
+        if total > most:
+            break
+        least = row.step
+    if least is None:
+        return {}
+    table = ratios.where(steps >= least).select("word", F.col(f"ratio_{name}").alias("ratio")).toArrow()
+    return dict(zip(table.column("word").to_pylist(), table.column("ratio").to_pylist(), strict=True))
 
 
-def _scored(rows: DataFrame, shared, schema: str, keep: list[str]) -> DataFrame:
+#: What a worker knows of a document, and the words whose scores are joined.
+_PARTIAL = "words long, chars long, sum long, telling long, top array<long>, rest array<struct<word:string,n:long>>"
+
+
+def _scored(rows: DataFrame, ratios: DataFrame, name: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """`rows` with features instead of text, and the written table they are read from.
+
+    Features are what the calibration sees of a document: never its label, language, source or identifier.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(_frequent(ratios, name, TABLE_WORDS))
+    over = round(2.0 / UNIT)
+
     def make():
-        scorer = Scorer(shared.value)
+        table = shared.value
+
+        def partial(text: str) -> tuple:
+            words = Counter(words_of(text))
+            total = telling = chars = 0
+            top, rest = [], []
+            for word, n in words.items():
+                chars += n * (len(word) + 1)
+                ratio = table.get(word)
+                if ratio is None:
+                    rest.append({"word": word, "n": n})
+                    continue
+                total += n * ratio
+                top.append(ratio)
+                if ratio > over:
+                    telling += n * ratio
+            return words.total(), chars, total, telling, sorted(top, reverse=True)[:3], rest
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = scorer.features(batch.column("text").to_pylist())
-            return pa.record_batch([*[batch.column(c) for c in keep], pa.array(x, pa.list_(pa.float64()))], [*keep, "features"])
+            columns = list(zip(*map(partial, batch.column("text").to_pylist()), strict=True))
+            types = [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))]
+            return pa.record_batch([*[batch.column(c) for c in keep], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], [*keep, "words", "chars", "sum", "telling", "top", "rest"])
 
         return work
 
-    return common.map_arrow(rows, make, schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", " + _PARTIAL
+    base = common.written(common.map_arrow(rows, make, schema).withColumn("row", F.monotonically_increasing_id()), "documents")
+    value = F.col("n") * F.col(f"ratio_{name}")
+    joined = base.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n").join(ratios.select("word", f"ratio_{name}"), "word")
+    found = joined.groupBy("row").agg(
+        F.sum(value).alias("more"), F.sum(F.when(F.col(f"ratio_{name}") > over, value).otherwise(0)).alias("more_telling"), F.slice(F.sort_array(F.collect_list(f"ratio_{name}"), False), 1, 3).alias("more_top")
+    )
+    whole = base.join(found, "row", "left")
+    total, telling = F.col("sum") + F.coalesce("more", F.lit(0)), F.col("telling") + F.coalesce("more_telling", F.lit(0))
+    top = F.sort_array(F.concat("top", F.coalesce("more_top", F.array().cast("array<long>"))), False)
+    best = [F.coalesce(F.greatest(F.lit(-4.0), F.least(F.get(top, F.lit(i)) * F.lit(UNIT), F.lit(12.0))), F.lit(0.0)) for i in range(3)]
+    best = [F.when(F.size(top) > i, b).otherwise(0.0) for i, b in enumerate(best)]
+    known = F.array(F.lit(1.0), F.lit(100.0) * total * F.lit(UNIT) / F.col("chars"), *best, F.log1p(telling * F.lit(UNIT)), F.log1p(F.col("words").cast("double")))
+    none = F.array(F.lit(1.0), *[F.lit(0.0)] * (len(FEATURES) - 1))
+    return whole.select(*keep, F.when(F.col("words") > 0, known).otherwise(none).alias("features")), base
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,8 +370,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     A null or empty text has no words and gets the score of no evidence.  `log_ratio` is
     the difference of the length-normalised log-likelihoods, in nats per 100 characters.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    x = _scored(common.documents(df, id_col, text_col), shared, "doc_id long, features array<double>", ["doc_id"])
+    docs = common.documents(df, id_col, text_col)
+    x, _ = _scored(docs, word_ratios(model, docs, ("all",)), "all", ["doc_id"])
     z = sum((F.col("features")[i] * F.lit(float(w)) for i, w in enumerate(model.weights)), F.lit(0.0))
     value = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
     return x.select("doc_id", value.alias("score"), F.col("features")[1].alias("log_ratio")).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "log_ratio")

@@ -1,7 +1,10 @@
+import math
 import random
 import zlib
+from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from cubelark.llm import toxicity
 
@@ -54,3 +57,70 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, model).count() == 0
+
+
+def kneser_ney(docs, labels):
+    """Character probabilities of both classes from counts in dictionaries, for a word's log ratio."""
+    raw = [defaultdict(int), defaultdict(int)]
+    marks = dict(labels)
+    for i, text, *_ in docs:
+        if zlib.crc32(str(i).encode()) % 5:
+            for word in text.split():
+                m = toxicity.START + word + toxicity.END
+                for end in range(2, len(m) + 1):
+                    for k in range(1, min(7, end) + 1):
+                        raw[1 - marks[i]][m[end - k : end]] += 1
+    count = [defaultdict(float), defaultdict(float)]
+    for c in (0, 1):
+        for g, n in raw[c].items():
+            if len(g) == 7 or g[0] == toxicity.START:
+                count[c][g] += n
+            if len(g) > 1:
+                count[c][g[1:]] += 1
+    for g in set(count[0]) | set(count[1]):
+        if len(g) <= 3:
+            count[0][g] = count[1][g] = count[0][g] + count[1][g]
+    total, left = [defaultdict(float), defaultdict(float)], [defaultdict(float), defaultdict(float)]
+    off = lambda g: 0.75 if len(g) <= 3 else 2.5
+    for c in (0, 1):
+        for g, n in count[c].items():
+            total[c][g[:-1]] += n
+            left[c][g[:-1]] += min(n, off(g))
+
+    def p(c, g):
+        if not g:
+            return 1 / 256
+        t, rest = total[c].get(g[:-1], 0), p(c, g[1:])
+        return (max(count[c].get(g, 0) - off(g), 0) + left[c][g[:-1]] * rest) / t if t else rest
+
+    def ratio(word):
+        m = toxicity.START + word + toxicity.END
+        return sum(math.log(p(0, m[max(0, e - 7) : e])) - math.log(p(1, m[max(0, e - 7) : e])) for e in range(2, len(m) + 1))
+
+    return ratio
+
+
+def test_counts_are_kept_for_every_gram(spark):
+    """However many grams there are, a word's score is that of exact counts: random words hold more 7-grams than 1 << 18."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéж") for _ in range(12))
+    docs = [(i, " ".join(word() for _ in range(250))) for i in range(260)]
+    docs += [(1000 + i, "blargish blargan " * 20) for i in range(40)]
+    labels = [(i, int(i >= 1000)) for i, _ in docs]
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.grams.where("length(gram) = 7").count() > 1 << 18
+    want = kneser_ney(docs, labels)
+    asked = ["blargish", "blarg", "unseen", "x", *docs[1][1].split()[:40]]
+    got = {r.word: r.ratio_all * toxicity.UNIT for r in toxicity.word_ratios(model, spark.createDataFrame([(" ".join(asked),)], "text string"), ("all",)).collect()}
+    assert got == {w: pytest.approx(want(w), abs=1e-6) for w in asked}
+
+
+def test_scores_do_not_depend_on_the_broadcast(spark, monkeypatch):
+    docs, labels = corpus(150)
+    df = spark.createDataFrame([*docs, (None, "blargan x", ""), (7, None, "")], "doc_id long, text string, x string")
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = []
+    for most in (1 << 18, 40, 0):
+        monkeypatch.setattr(toxicity, "TABLE_WORDS", most)
+        found.append(sorted((r.doc_id or -1, r.score, r.log_ratio) for r in toxicity.score(df, model).collect()))
+    assert len(found[0]) == 152 and found[0] == found[1] == found[2]
