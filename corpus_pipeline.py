@@ -34,7 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences; one row per piece."""
-    return packing.pack(packing.with_crc(packing.pieces(docs)))
+    return packing.pack(packing.with_crc(packing.pieces(docs, added_tokens=True)))
 
 
 STAGES = [

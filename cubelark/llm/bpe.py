@@ -26,17 +26,33 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+def load_added(path: str) -> dict[str, int]:
+    """Added tokens of a .json vocabulary and their ids; a .tiktoken file has none."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"added tokens that are not plain strings: {path}")
+    return {t["content"]: t["id"] for t in added}
+
+
 class Encoder:
     """Whole texts to ids, as little-endian unsigned 32-bit integers in a row."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         import tiktoken
 
-        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens=load_added(path))
+
+    def encode(self, text: str, added_tokens: bool = False) -> bytes:
+        """The ids of `text`, each pre-token encoded on its own.
 
-    def encode(self, text: str) -> bytes:
-        """The ids of `text`, each pre-token encoded on its own, no special tokens."""
-        return array("I", self.library.encode_ordinary(text)).tobytes()
+        With `added_tokens` the text is first split at the vocabulary's added tokens, each of
+        which is one id, as the tokenizers library does; without, they are text like any other.
+        """
+        ids = self.library.encode(text, allowed_special="all") if added_tokens else self.library.encode_ordinary(text)
+        return array("I", ids).tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         """The raw bytes of the ids' tokens in a row."""

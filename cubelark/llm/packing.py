@@ -32,11 +32,12 @@ BUCKET_ROWS = 50_000
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, how often), ...), how many sequences
 
 
-def pieces(df: DataFrame, path: str | None = None, end_id: int | None = 2, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(df: DataFrame, path: str | None = None, end_id: int | None = 2, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit integers).
 
     A document's ids, then `end_id`; if they exceed `limit` they are cut so that
     all pieces but the first are full.  A null or empty text is `end_id` alone.
+    `added_tokens`: whether the vocabulary's added tokens in a text are one id each.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
@@ -47,7 +48,7 @@ def pieces(df: DataFrame, path: str | None = None, end_id: int | None = 2, limit
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = codec.encode(text) + end
+                ids = codec.encode(text, added_tokens) + end
                 for k, (start, length) in enumerate(cuts(len(ids) // 4, limit)):
                     rows.append((doc, k, start, length, ids[4 * start : 4 * (start + length)]))
             columns = list(zip(*rows, strict=True)) or [[]] * 5

@@ -30,7 +30,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.with_crc(packing.pieces(table(spark, sf_dir, "documents"))))
+    return packing.pack(packing.with_crc(packing.pieces(table(spark, sf_dir, "documents"), added_tokens=True)))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-from cubelark.llm import bpe_chunks, packing, token_counts
+import corpus_pipeline
+from cubelark.llm import bpe_chunks, packing, queries, token_counts
 
 
 def samples():
@@ -79,6 +80,23 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack(packing.with_crc(packing.pieces(frame(spark).limit(0)))).count() == 0
 
 
+def test_queries_pack_the_librarys_ids(spark, tmp_path):
+    """Added tokens in a text are one id each, as the library's default has them."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert library.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
+    texts = [*samples(), "x  <|endoftext|>  y<|endoftext|><|endoftext|>\n", "<|endoftext|", "<|endoftext|>" * 1500, "<|<|endoftext|>|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for packed in (queries.op4_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, df, str(tmp_path))):
+        of_doc = defaultdict(list)
+        for r in packed.collect():
+            of_doc[r.doc_id].append(r)
+        for i, text in enumerate(texts):
+            ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+            assert sum(r.length for r in of_doc[i]) == len(ids), i
+            assert all(r.ids_crc32 == zlib.crc32(array("I", ids[r.start : r.start + r.length]).tobytes()) for r in of_doc[i]), i
+
+
 def test_bin_completion_beats_or_equals_best_fit():
     rng = random.Random(2)
     for _ in range(60):
