@@ -23,8 +23,15 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # the head matches; what may belong to it is looked at only, as the next head may begin in it
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))",
 }
+#: Fixed: characters of an IBAN by country, as registered.  Of other countries every length is tried.
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: A cheap test that every text with a match passes.
 NEEDS = {"email": "@", "ip": None, "card": None, "phone": "+", "iban": None}
 #: Fixed: words that, close before a span, speak for its kind.
@@ -54,6 +61,7 @@ def _spans(text: Column, kind: str) -> Column:
     """
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    ahead = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == "iban" else None
     between = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
@@ -61,10 +69,11 @@ def _spans(text: Column, kind: str) -> Column:
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"]).cast("bigint")
         end = start + F.length(pair["value"]).cast("bigint")
-        one = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
+        value = pair["value"] if ahead is None else F.concat(pair["value"], pair["ahead"])
+        one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.transform(found, lambda value, i: F.struct(value.alias("value"), F.get(between, i).alias("gap")))
+    pairs = F.transform(found, lambda value, i: F.struct(value.alias("value"), F.get(between, i).alias("gap"), *([] if ahead is None else [F.get(ahead, i).alias("ahead")])))
     spans = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
     return F.when(_may(text, kind), spans).otherwise(empty)
 
@@ -104,6 +113,30 @@ def _mod97(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
 
+def _ibans(spans: Column) -> Column:
+    """From each head on, the IBAN of its country's length, or else the longest that ends with a group; in text order, without overlaps."""
+    registered = F.create_map(*[F.lit(x) for n, countries in IBAN_CHARS.items() for c in countries.split() for x in (c, n)])
+
+    def ends(s: Column) -> Column:
+        value = s["value"]
+
+        def ends_at(e: Column) -> Column:
+            whole = F.substring(value, F.lit(1), e)
+            edge = F.substring(value, e, F.lit(2)).rlike("^[A-Z0-9](?![A-Za-z0-9])")
+            chars = F.length(F.regexp_replace(whole, " ", ""))
+            fits = F.coalesce(chars == F.try_element_at(registered, F.substring(value, 1, 2)), chars.between(15, 34))
+            return edge & F.when(edge & fits, _mod97(whole)).otherwise(F.lit(False))
+
+        return F.array_max(F.filter(F.sequence(F.lit(15), F.length(value)), ends_at))
+
+    def resolve(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), (s["start"] + ends(s)).alias("end"), s["value"].alias("value"))
+
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    apart = lambda out, s: F.when(F.coalesce(F.get(out, F.size(out) - 1)["end"], F.lit(0)) <= s["start"], F.concat(out, F.array(s))).otherwise(out)
+    return F.aggregate(F.filter(F.transform(spans, resolve), lambda s: s["end"].isNotNull()), empty, apart)
+
+
 def _holds(kind: str, value: Column) -> Column:
     if kind == "ip":
         return value.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$")
@@ -111,14 +144,12 @@ def _holds(kind: str, value: Column) -> Column:
         return _luhn(_digits(value))
     if kind == "phone":
         return F.length(_digits(value)).between(8, 15)
-    if kind == "iban":
-        return _mod97(value)
     return F.lit(True)
 
 
 def _scored(text: Column, kind: str) -> Column:
     """Confirmed spans of a kind, with their score."""
-    kept = F.filter(_spans(text, kind), lambda s: _holds(kind, s["value"]))
+    kept = _ibans(_spans(text, kind)) if kind == "iban" else F.filter(_spans(text, kind), lambda s: _holds(kind, s["value"]))
 
     def score(s: Column) -> Column:
         first = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))

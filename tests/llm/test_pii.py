@@ -56,3 +56,25 @@ def test_redaction_and_edges(spark):
     got = {r.doc_id: (r.text, r.row) for r in pii.redact(df).collect()}
     assert got == {1: ("write [EMAIL] now", "x"), None: (None, "y"), 3: ("plain", None)}
     assert pii.digest(pii.find_pii(df.limit(0))).count() == 0
+
+
+def iban(country, rest):
+    number = "".join(str(int(c, 36)) for c in f"{rest}{country}00")
+    return f"{country}{98 - int(number) % 97:02}{rest}"
+
+
+def test_ibans_in_running_text(spark):
+    de, gb, other = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", iban("QQ", "1234567890123456")
+    assert de == iban("DE", de[4:])
+    grouped = " ".join(de[i : i + 4] for i in range(0, len(de), 4))
+    cases = []
+    for one in (de, gb, grouped, other):
+        for before in ("", "IBAN ", "AB12 ", "NR 2024 XY99 "):
+            for after in ("", " BIC COBADEFFXXX", " Thanks", " EUR 50", " 2024", " BIC WESTGB2L", ". Then", " " + de, " A" * 40):
+                cases.append((f"{before}{one}{after}", [(len(before), len(before) + len(one))] + ([(len(before + one) + 1, len(before + one) + 1 + len(de))] if after == " " + de else [])))
+    cases += [(x, []) for x in ("DE89370400440532013001 EUR 50", de + "x", "X" + de, de[:-1], "DE89 3704")]
+    found = {r.doc_id: [(s["start"], s["end"]) for s in r.iban] for r in pii.find_pii(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert found[i] == want, text
+    df = spark.createDataFrame([(1, f"pay {gb} BIC WESTGB2L now")], "doc_id long, text string")
+    assert pii.redact(df).first().text == "pay [IBAN] BIC WESTGB2L now"
