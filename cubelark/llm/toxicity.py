@@ -1,23 +1,33 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two character models of words, one of toxic and one of ordinary documents, give
-every word two log-likelihoods.  Up to SHARED characters the models share their
-(continuation) counts, so expressions that are rare in one class back off to
-common ground and count for neither; longer contexts keep the classes apart.  A
-document is judged by the difference of its length-normalised log-likelihoods,
-as a whole and over its most telling words, put on a 0 to 1 scale by a logistic
+Two models of words, one of toxic and one of ordinary documents, give every word
+two log-likelihoods.  The contexts of a word are the documents it stands in.  A
+class's own counts are discounted, and what that frees is dealt out by counts
+that both classes share: in how many documents a word occurs, whatever their
+class (the continuation counts), and below that evenly.  A word that is rare in
+both classes so rests on common ground and counts for neither.
+
+    P(w | class) = max(n(w) - D, 0) / n + g * Q(w),   g = sum of min(n(v), D) over all v / n
+    Q(w) = max(c(w) - d, 0) / c + h / (V + 1),        h = d V / c
+
+n(w) is how often the class has the word, c(w) how many documents of both have it,
+n and c their sums, V the number of distinct words; d is smaller than 1.
+
+Of a document the difference of its length-normalised log-likelihoods counts, as
+a whole and over its most telling words, put on a 0 to 1 scale by a logistic
 calibration on labelled documents that the models have not seen.
 
-Counts come from all labelled documents of the training folds.  They are keyed by
-the grams themselves and stay a table of one row per distinct gram, however many
-there are.  Grams and words are scored by joins with that table.  Workers get the
-scores of the TABLE_WORDS most frequent words at most; the scores of all other
-words are joined to the documents, so what is broadcast is bounded and the result
-does not depend on the bound.
+Counts come from all labelled documents of the training folds, keyed by the words
+themselves: a table of one row per distinct word that grows with the input.  To
+count, texts move to their labels; a Bloom filter of the labelled identifiers
+keeps the rest where it is.  To score, workers get the TABLE_WORDS most frequent
+words at most, all other words are joined, so what is broadcast is bounded and
+the scores do not depend on the bound.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -29,80 +39,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, shingles
 
-#: Characters of a gram at most; grams up to SHARED are counted over both classes together.
-ORDER = 7
-SHARED = 3
-#: Taken off every count and given to the backoff; the classes' own counts give more, so that what
-#: was seen once or twice in one class only counts for neither.
-SHARED_DISCOUNT = 0.75
+#: Taken off the classes' counts and off the shared ones.  What one class has seen once or twice counts for neither.
 CLASS_DISCOUNT = 2.5
-#: Frequent words whose scores are broadcast at most.
+SHARED_DISCOUNT = 0.75
+#: Words whose scores are broadcast at most.
 TABLE_WORDS = 1 << 18
-#: Words that a task counts before it passes them on.
-COUNTED_WORDS = 200_000
+#: Distinct words that a task counts before it passes them on.
+COUNTED_WORDS = 500_000
+#: Bits of the Bloom filter for each label, and at most (8 MB); a fuller filter lets more pass, it loses nothing.
+BITS_PER_LABEL = 10
+MOST_BITS = 1 << 26
 #: Scores of words are whole numbers of this part, so sums do not depend on their order.
 UNIT = 1e-9
-#: Groups of `bucket`; counts and scores do not use them.
-BUCKETS = 1 << 18
 #: Labelled documents that the calibration is fitted on at most.
 CALIBRATION_DOCUMENTS = 6_000
-#: Initial probability of a character.
-ALPHABET = 256.0
 
 WORD = re.compile(r"\w+")
-START, END = "\x02", "\x03"
 FEATURES = ("bias", "mean", "first", "second", "third", "telling", "length")
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_POWERS = np.array([pow(0x100000001B3, k, 1 << 64) for k in range(ORDER + 1)], dtype=np.uint64)
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def gram_hashes(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order k, hashes of the k characters that end at each position of the marked words; the positions within the word; the word of each position."""
-    marked = [START + w + END for w in words]
-    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-    sizes = np.array([len(w) for w in marked])
-    at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    hashes = [np.zeros(len(codes), dtype=np.uint64)]
-    with np.errstate(over="ignore"):
-        for k in range(1, ORDER + 1):
-            shifted = np.zeros(len(codes), dtype=np.uint64)
-            shifted[k - 1 :] = codes[: max(0, len(codes) - k + 1)]
-            hashes.append(hashes[-1] + shifted * _POWERS[k - 1])
-    return hashes, at, np.repeat(np.arange(len(words)), sizes)
-
-
-def bucket(hashes: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((hashes * np.uint64(_MULTIPLIER)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-
-
-def grams_of(word: str) -> list[str]:
-    """All grams of a marked word but the opening mark alone."""
-    marked = START + word + END
-    return [marked[i - k : i] for i in range(2, len(marked) + 1) for k in range(1, min(ORDER, i) + 1)]
-
-
-def longest_grams_of(word: str) -> list[str]:
-    """For each character after the opening mark the longest gram that ends with it."""
-    marked = START + word + END
-    return [marked[max(0, i - ORDER) : i] for i in range(2, len(marked) + 1)]
-
-
 @dataclass
 class Model:
-    """Kneser-Ney counts of every distinct gram and the calibration's weights."""
+    """Log ratios of the words that either class has seen more than CLASS_DISCOUNT times, those of all other words, and the calibration's weights.
+
+    `words` has word, n (occurrences in training) and for each name in MODELS ratio_*: what the
+    word's log ratio has over that of any other word (`rest`), in UNIT.
+    """
 
-    grams: DataFrame  # gram, and toxic and ordinary counts t_*, o_* for each name in MODELS
+    words: DataFrame
+    rest: dict[str, int]
     weights: np.ndarray = field(default_factory=lambda: np.array([-1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0]))
 
     def discard(self) -> None:
-        common.discard(self.grams)
+        common.discard(self.words)
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -128,18 +103,18 @@ def fold(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
-#: Toxic and ordinary counts of either half of the training folds.
-COUNTS = ("toxic_1", "ordinary_1", "toxic_2", "ordinary_2")
-#: Models by name and their counts: of the other half, for the calibration, and of both.
-MODELS = {"1": (("toxic_2",), ("ordinary_2",)), "2": (("toxic_1",), ("ordinary_1",)), "all": (("toxic_1", "toxic_2"), ("ordinary_1", "ordinary_2"))}
+#: Toxic and ordinary occurrences of a word and the documents that have it, for either half of the training folds.
+COUNTS = ("toxic_1", "ordinary_1", "documents_1", "toxic_2", "ordinary_2", "documents_2")
+#: Models by name and the halves they are counted on: for the calibration the other half, and both.
+MODELS = {"1": (2,), "2": (1,), "all": (1, 2)}
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The model of all labelled documents of folds 1 to 4.
 
-    For the calibration each half of these folds is scored by a model of the
-    other half, on a bounded sample.  Identifiers only select rows.  Rows
-    without identifier or label are not learnt from.
+    For the calibration each half of these folds is scored by a model of the other half, on a
+    bounded sample.  Identifiers only select rows.  Rows without identifier or label are not
+    learnt from; rows that repeat an identifier are all learnt from.
     """
     marks = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -149,154 +124,115 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .select("doc_id", "label", F.when(F.col("fold") <= 2, 1).otherwise(2).alias("half"))
     )
     docs = common.documents(df, id_col, text_col)
+    shared = df.sparkSession.sparkContext.broadcast(bloom_filter(marks))
     # words travel compressed to the labels, and the hint keeps one plan at every size
-    marked = common.map_arrow(docs, _packed_words, "doc_id long, words binary").join(marks.hint("shuffle_hash"), "doc_id").select("words", "label", "half")
-    words = marked.mapInArrow(_count_words, "word string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    grams = common.written(words.mapInArrow(_count_grams, "gram string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]), "grams")
-    model = Model(common.written(_kneser_ney(grams), "model"))
-    common.discard(grams)
+    marked = common.map_arrow(docs.where("doc_id IS NOT NULL"), _packed_words(shared), "doc_id long, words binary").join(marks.hint("shuffle_hash"), "doc_id").select("words", "label", "half")
+    counts = common.written(marked.mapInArrow(_count_words, "word string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]), "counts")
+    model = kneser_ney(counts)
+    common.discard(counts)
 
     draw = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCUMENTS))
     sample = common.written(docs.join(draw, "doc_id").select("text", "label", "half"), "sample")
-    ratios = word_ratios(model, sample, ("1", "2"))
     x, y = [], []
     for half in (1, 2):
-        frame, base = _scored(sample.where(F.col("half") == half), ratios, str(half), ["label"])
-        for row in sorted([*map(float, r.features), r.label] for r in frame.select("features", "label").collect()):
+        frame, base = _scored(sample.where(F.col("half") == half), model, str(half), ["label"])
+        drawn = frame.select("features", "label").orderBy(F.xxhash64("features"), "features", "label").limit(CALIBRATION_DOCUMENTS)  # identifiers may repeat
+        for row in sorted([*map(float, r.features), r.label] for r in drawn.collect()):
             x.append(row[:-1])
             y.append(row[-1])
         common.discard(base)
-    common.discard(ratios, sample)
+    common.discard(sample)
     model.weights = calibrate(np.array(x).reshape(len(y), len(FEATURES)), np.array(y, dtype=float), model.weights)
     return model
 
 
-def _packed_words():
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed = [zlib.compress(" ".join(words_of(t)).encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()]
-        return pa.record_batch([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "words"])
+def _positions(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Three bits of the Bloom filter for each identifier."""
+    for seed in range(1, 4):
+        with np.errstate(over="ignore"):
+            yield shingles.mixed(ids.astype(np.int64).view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(bits - 1)
 
-    return work
 
+def bloom_filter(marks: DataFrame) -> np.ndarray:
+    """The filter of the identifiers as words of 64 bits; their number is a power of two."""
+    bits = min(MOST_BITS, 1 << max(6, math.ceil(math.log2(1 + BITS_PER_LABEL * marks.count()))))
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the documents by half and label, counted before they are shuffled."""
-    for batch in batches:
-        for part in common.slices(batch):
-            counts: list[Counter[str]] = [Counter() for _ in COUNTS]
-            for packed, label, half in zip(*(part.column(c).to_pylist() for c in ("words", "label", "half")), strict=True):
-                counts[2 * (half - 1) + 1 - label].update(zlib.decompress(packed).decode("utf-8", "surrogatepass").split(" "))
-            for c in counts:
-                c.pop("", None)
-            every = list(set().union(*counts))
-            yield pa.record_batch([pa.array(every, pa.string()), *[pa.array([c[w] for w in every], pa.int64()) for c in counts]], ["word", *COUNTS])
-
-
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grams of all orders with the counts of the words they come from, summed within the batch."""
-    for batch in batches:
-        for part in common.slices(batch):
-            known: dict[str, int] = {}
-            ids, sizes = [], []
-            for word in part.column("word").to_pylist():
-                own = grams_of(word)
-                ids += [known.setdefault(g, len(known)) for g in own]
-                sizes.append(len(own))
-            counts = [np.repeat(part.column(c).to_numpy(zero_copy_only=False).astype(float), sizes) for c in COUNTS]
-            sums = [pa.array(np.bincount(ids, weights=c, minlength=len(known)).astype(np.int64)) for c in counts]
-            yield pa.record_batch([pa.array(list(known), pa.string()), *sums], ["gram", *COUNTS])
-
-
-def _kneser_ney(grams: DataFrame) -> DataFrame:
-    """Kneser-Ney counts: gram, and t_* and o_* for each model.
-
-    Grams of the full order, or that open a word, keep their counts; shorter
-    ones count the different grams that extend them to the left.
-    """
-    columns = {f"{c}_{name}": sum((F.col(p) for p in parts), F.lit(0)) for name, both in MODELS.items() for c, parts in zip("to", both, strict=True)}
-    grams = grams.select("gram", *[v.cast("double").alias(c) for c, v in columns.items()])
-    own = grams.where((F.length("gram") == ORDER) | F.startswith("gram", F.lit(START)))
-    extended = grams.where(F.length("gram") > 1).groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(*[F.sum((F.col(c) > 0).cast("double")).alias(c) for c in columns])
-    pooled = F.length("gram") <= SHARED
-    each = [F.when(pooled, F.col(f"t_{n}") + F.col(f"o_{n}")).otherwise(F.col(f"{c}_{n}")).alias(f"{c}_{n}") for n in MODELS for c in "to"]
-    return own.unionByName(extended).select("gram", *each)  # no gram is in both
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(list(_positions(batch.column("doc_id").to_numpy(zero_copy_only=False), bits))))
+            place, first = np.unique(at >> np.uint64(6), return_index=True)
+            if len(place):
+                yield pa.record_batch([pa.array(place.astype(np.int64)), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first).view(np.int64))], ["place", "bits"])
 
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    found = marks.select("doc_id").mapInArrow(spread, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()  # MOST_BITS / 64 rows at most
+    out[found.column("place").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
 
-def word_ratios(model: Model, texts: DataFrame, names: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """A written table of the texts' words: word, n (how often), and for each model ratio_*.
 
-    A ratio is the sum over a word's characters of log P(toxic) - log P(ordinary), in UNIT.
-    A gram's probability needs that of the gram without its first character, so the orders
-    are joined from the shortest on; every join is on distinct grams.
-    """
-    words = common.written(texts.select(F.col(text_col).alias("text")).mapInArrow(_vocabulary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    columns = [f"{c}_{n}" for n in names for c in "to"]
-    off = F.when(F.length("gram") <= SHARED, SHARED_DISCOUNT).otherwise(CLASS_DISCOUNT)
-    counts = model.grams.select("gram", *columns)
-    context = F.expr("substring(gram, 1, length(gram) - 1)").alias("context")
-    sums = [f(v).alias(f"{s}_{c}") for c in columns for s, f, v in (("total", F.sum, F.col(c)), ("left", F.sum, F.least(F.col(c), off)))]
-    contexts = counts.groupBy(context).agg(*sums)
-    asked = words.select("word").mapInArrow(_asked, "gram string").distinct()
-    seen = asked.join(counts, "gram", "left").select("gram", context, *[F.greatest(F.coalesce(F.col(c), F.lit(0.0)) - off, F.lit(0.0)).alias(c) for c in columns]).join(contexts, "context", "left")
-    here = [v for c in columns for v in (F.when(F.col(f"total_{c}") > 0, F.col(c) / F.col(f"total_{c}")).otherwise(0.0).alias(f"own_{c}"), F.when(F.col(f"total_{c}") > 0, F.col(f"left_{c}") / F.col(f"total_{c}")).otherwise(1.0).alias(f"back_{c}"))]
-    parts = common.written(seen.select("gram", *here), "parts")
-    levels: list[DataFrame] = []
-    for k in range(1, ORDER + 1):
-        level = parts.where(F.length("gram") == k)
-        if k == 1:
-            level = level.select("gram", *[(F.col(f"own_{c}") + F.col(f"back_{c}") / ALPHABET).alias(f"p_{c}") for c in columns])
-        else:
-            shorter = levels[-1].withColumnRenamed("gram", "suffix")
-            level = level.withColumn("suffix", F.expr("substring(gram, 2)")).join(shorter, "suffix").select("gram", *[(F.col(f"own_{c}") + F.col(f"back_{c}") * F.col(f"p_{c}")).alias(f"p_{c}") for c in columns])
-        levels.append(common.written(level, f"order-{k}"))
-    ratios = [F.round((F.log(f"p_t_{n}") - F.log(f"p_o_{n}")) / UNIT).cast("long").alias(f"ratio_{n}") for n in names]
-    longest = levels[-1].select("gram", *ratios)
-    for level in levels[:-1]:
-        longest = longest.unionByName(level.where(F.startswith("gram", F.lit(START))).select("gram", *ratios))
-    places = words.mapInArrow(_places, "word string, n long, gram string")
-    out = common.written(places.join(longest, "gram").groupBy("word", "n").agg(*[F.sum(f"ratio_{n}").alias(f"ratio_{n}") for n in names]), "ratios")
-    common.discard(words, parts, *levels)
-    return out
+def _may_have(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    passed = np.ones(len(ids), dtype=bool)
+    for at in _positions(ids, 64 * len(filter_)):
+        passed &= (filter_[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return passed
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the texts and how often, summed before they are shuffled."""
-    counts: Counter[str] = Counter()
+def _packed_words(shared):
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            batch = batch.filter(pa.array(_may_have(shared.value, batch.column("doc_id").to_numpy(zero_copy_only=False))))
+            packed = [zlib.compress(" ".join(words_of(t)).encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()]
+            return pa.record_batch([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "words"])
 
-    def take() -> pa.RecordBatch:
-        out = pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-        counts.clear()
-        return out
+        return work
 
-    for batch in batches:
-        for text in batch.column("text"):
-            counts.update(words_of(text.as_py() or ""))
-            if len(counts) > COUNTED_WORDS:
-                yield take()
-    yield take()
+    return make
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different grams of each batch of words."""
-    for batch in batches:
-        for part in common.slices(batch):
-            own = {g for word in part.column("word").to_pylist() for g in grams_of(word)}
-            yield pa.record_batch([pa.array(list(own), pa.string())], ["gram"])
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the documents by half and label, counted before they are shuffled."""
+    counts: list[Counter[str]] = [Counter() for _ in COUNTS]
 
+    def take() -> pa.RecordBatch:
+        every = list(set().union(*counts))
+        out = pa.record_batch([pa.array(every, pa.string()), *[pa.array([c[w] for w in every], pa.int64()) for c in counts]], ["word", *COUNTS])
+        for c in counts:
+            c.clear()
+        return out
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each word's characters by the longest gram that ends there."""
     for batch in batches:
-        for part in common.slices(batch):
-            grams = [longest_grams_of(w) for w in part.column("word").to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
-            yield pa.record_batch([part.column("word").take(at), part.column("n").take(at), pa.array([g for own in grams for g in own], pa.string())], ["word", "n", "gram"])
+        for packed, label, half in zip(*(batch.column(c) for c in ("words", "label", "half")), strict=True):
+            words = zlib.decompress(packed.as_py()).decode("utf-8", "surrogatepass").split()
+            first = 3 * (half.as_py() - 1)
+            counts[first + 1 - label.as_py()].update(words)
+            counts[first + 2].update(set(words))
+            if sum(map(len, counts)) > COUNTED_WORDS:
+                yield take()
+    yield take()
 
 
-def _frequent(ratios: DataFrame, name: str, most: int) -> dict[str, int]:
-    """Ratios of at most `most` words, all that are more frequent than some number."""
+def kneser_ney(counts: DataFrame) -> Model:
+    """The models of a table of word and COUNTS."""
+    own = {f"{c}_{name}": sum((F.col(f"{kind}_{h}") for h in halves), F.lit(0)) for name, halves in MODELS.items() for c, kind in (("t", "toxic"), ("o", "ordinary"), ("d", "documents"))}
+    counts = counts.select("word", *[v.cast("double").alias(c) for c, v in own.items()])
+    off = {c: SHARED_DISCOUNT if c.startswith("d") else CLASS_DISCOUNT for c in own}
+    sums = counts.agg(*[F.coalesce(f(v), F.lit(0.0)).alias(f"{s}_{c}") for c in own for s, f, v in (("all", F.sum, F.col(c)), ("off", F.sum, F.least(F.col(c), F.lit(off[c]))), ("seen", F.sum, (F.col(c) > 0).cast("double")))]).first()
+    ratios, rest = [], {}
+    for name in MODELS:
+        share = {c: (sums[f"off_{c}_{name}"] / sums[f"all_{c}_{name}"] if sums[f"all_{c}_{name}"] else 1.0) for c in "tod"}
+        kept = {c: F.greatest(F.col(f"{c}_{name}") - off[f"{c}_{name}"], F.lit(0.0)) / max(sums[f"all_{c}_{name}"], 1.0) for c in "tod"}
+        base = kept["d"] + share["d"] / (sums[f"seen_d_{name}"] + 1)
+        rest[name] = round((math.log(share["t"]) - math.log(share["o"])) / UNIT)
+        ratio = F.log(kept["t"] + share["t"] * base) - F.log(kept["o"] + share["o"] * base)
+        ratios.append((F.round(ratio / UNIT).cast("long") - rest[name]).alias(f"ratio_{name}"))
+    told = counts.where((F.col("t_all") > CLASS_DISCOUNT) | (F.col("o_all") > CLASS_DISCOUNT))  # all others have the ratio `rest`
+    return Model(common.written(told.select("word", (F.col("t_all") + F.col("o_all")).cast("long").alias("n"), *ratios), "model"), rest)
+
+
+def _frequent(words: DataFrame, name: str, most: int) -> tuple[dict[str, int], bool]:
+    """Ratios of at most `most` words, all that are more frequent than some number; and whether that is all words."""
     steps = F.when(F.col("n") < 64, F.col("n")).otherwise((F.log2("n") * 11).cast("long"))
-    ranks = ratios.groupBy(steps.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()  # some hundred rows at most
+    ranks = words.groupBy(steps.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()  # some hundred rows at most
     total, least = 0, None
     for row in ranks:
         total += row.words
@@ -304,62 +240,61 @@ def _frequent(ratios: DataFrame, name: str, most: int) -> dict[str, int]:
             break
         least = row.step
     if least is None:
-        return {}
-    table = ratios.where(steps >= least).select("word", F.col(f"ratio_{name}").alias("ratio")).toArrow()
-    return dict(zip(table.column("word").to_pylist(), table.column("ratio").to_pylist(), strict=True))
+        return {}, not ranks
+    table = words.where(steps >= least).select("word", F.col(f"ratio_{name}").alias("ratio")).toArrow()
+    return dict(zip(table.column("word").to_pylist(), table.column("ratio").to_pylist(), strict=True)), total <= most
 
 
 #: What a worker knows of a document, and the words whose scores are joined.
-_PARTIAL = "words long, chars long, sum long, telling long, top array<long>, rest array<struct<word:string,n:long>>"
+_PARTIAL = "words long, sum long, telling long, top array<long>, rest array<struct<word:string,n:long>>"
 
 
-def _scored(rows: DataFrame, ratios: DataFrame, name: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+def _scored(rows: DataFrame, model: Model, name: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """`rows` with features instead of text, and the written table they are read from.
 
     Features are what the calibration sees of a document: never its label, language, source or identifier.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(_frequent(ratios, name, TABLE_WORDS))
+    frequent, complete = _frequent(model.words, name, TABLE_WORDS)
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
     over = round(2.0 / UNIT)
 
     def make():
         table = shared.value
 
         def partial(text: str) -> tuple:
-            words = Counter(words_of(text))
-            total = telling = chars = 0
+            words = words_of(text)
+            total = telling = 0
             top, rest = [], []
-            for word, n in words.items():
-                chars += n * (len(word) + 1)
+            for word, n in Counter(words).items():
                 ratio = table.get(word)
                 if ratio is None:
-                    rest.append({"word": word, "n": n})
+                    if not complete:
+                        rest.append({"word": word, "n": n})
                     continue
                 total += n * ratio
                 top.append(ratio)
                 if ratio > over:
                     telling += n * ratio
-            return words.total(), chars, total, telling, sorted(top, reverse=True)[:3], rest
+            return len(words), total, telling, sorted(top, reverse=True)[:3], rest
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             columns = list(zip(*map(partial, batch.column("text").to_pylist()), strict=True))
-            types = [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))]
-            return pa.record_batch([*[batch.column(c) for c in keep], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], [*keep, "words", "chars", "sum", "telling", "top", "rest"])
+            types = [*[pa.int64()] * 3, pa.list_(pa.int64()), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))]
+            return pa.record_batch([*[batch.column(c) for c in keep], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], [*keep, "words", "sum", "telling", "top", "rest"])
 
         return work
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", " + _PARTIAL
     base = common.written(common.map_arrow(rows, make, schema).withColumn("row", F.monotonically_increasing_id()), "documents")
-    value = F.col("n") * F.col(f"ratio_{name}")
-    joined = base.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n").join(ratios.select("word", f"ratio_{name}"), "word")
-    found = joined.groupBy("row").agg(
-        F.sum(value).alias("more"), F.sum(F.when(F.col(f"ratio_{name}") > over, value).otherwise(0)).alias("more_telling"), F.slice(F.sort_array(F.collect_list(f"ratio_{name}"), False), 1, 3).alias("more_top")
-    )
+    value = F.col("n") * F.col("ratio")
+    ratios = model.words.select("word", F.col(f"ratio_{name}").alias("ratio"))
+    joined = base.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n").join(ratios, "word")
+    found = joined.groupBy("row").agg(F.sum(value).alias("more"), F.sum(F.when(F.col("ratio") > over, value).otherwise(0)).alias("more_telling"), F.slice(F.sort_array(F.collect_list("ratio"), False), 1, 3).alias("more_top"))
     whole = base.join(found, "row", "left")
     total, telling = F.col("sum") + F.coalesce("more", F.lit(0)), F.col("telling") + F.coalesce("more_telling", F.lit(0))
     top = F.sort_array(F.concat("top", F.coalesce("more_top", F.array().cast("array<long>"))), False)
     best = [F.coalesce(F.greatest(F.lit(-4.0), F.least(F.get(top, F.lit(i)) * F.lit(UNIT), F.lit(12.0))), F.lit(0.0)) for i in range(3)]
-    best = [F.when(F.size(top) > i, b).otherwise(0.0) for i, b in enumerate(best)]
-    known = F.array(F.lit(1.0), F.lit(100.0) * total * F.lit(UNIT) / F.col("chars"), *best, F.log1p(telling * F.lit(UNIT)), F.log1p(F.col("words").cast("double")))
+    known = F.array(F.lit(1.0), (total / F.col("words") + F.lit(model.rest[name])) * F.lit(UNIT), *best, F.log1p(telling * F.lit(UNIT)), F.log1p(F.col("words").cast("double")))
     none = F.array(F.lit(1.0), *[F.lit(0.0)] * (len(FEATURES) - 1))
     return whole.select(*keep, F.when(F.col("words") > 0, known).otherwise(none).alias("features")), base
 
@@ -368,10 +303,9 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """One row per input row: doc_id, score (0 to 1), predicted (1 from 0.5 on), log_ratio.
 
     A null or empty text has no words and gets the score of no evidence.  `log_ratio` is
-    the difference of the length-normalised log-likelihoods, in nats per 100 characters.
+    the difference of the log-likelihoods per word, in nats.  Repeated rows are each scored.
     """
-    docs = common.documents(df, id_col, text_col)
-    x, _ = _scored(docs, word_ratios(model, docs, ("all",)), "all", ["doc_id"])
+    x, _ = _scored(common.documents(df, id_col, text_col), model, "all", ["doc_id"])
     z = sum((F.col("features")[i] * F.lit(float(w)) for i, w in enumerate(model.weights)), F.lit(0.0))
     value = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
     return x.select("doc_id", value.alias("score"), F.col("features")[1].alias("log_ratio")).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "log_ratio")

@@ -1,7 +1,7 @@
 import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -43,76 +43,62 @@ def test_labels_of_held_out_rows_are_never_used(spark):
     assert a == b
 
 
-def test_probabilities_sum_to_one():
-    """Without collisions a Kneser-Ney distribution over all continuations of a context sums to at most one."""
-    rng = np.random.default_rng(0)
-    hashes, at, of = toxicity.gram_hashes(["abcab", "x"])
-    assert list(at) == [0, 1, 2, 3, 4, 5, 6, 0, 1, 2] and list(of) == [0] * 7 + [1] * 3
-    again, _, _ = toxicity.gram_hashes(["zzabc"])
-    assert hashes[3][3] == again[3][5]  # the gram "abc", wherever it stands
-    assert toxicity.bucket(rng.integers(0, 2**63, 1000).astype(np.uint64)).max() < toxicity.BUCKETS
-
-
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, model).count() == 0
 
 
-def kneser_ney(docs, labels):
-    """Character probabilities of both classes from counts in dictionaries, for a word's log ratio."""
-    raw = [defaultdict(int), defaultdict(int)]
+def kneser_ney(docs, labels, halves):
+    """Word probabilities of both classes from counts in dictionaries."""
+    seen, shared = {0: Counter(), 1: Counter()}, Counter()
     marks = dict(labels)
-    for i, text, *_ in docs:
-        if zlib.crc32(str(i).encode()) % 5:
-            for word in text.split():
-                m = toxicity.START + word + toxicity.END
-                for end in range(2, len(m) + 1):
-                    for k in range(1, min(7, end) + 1):
-                        raw[1 - marks[i]][m[end - k : end]] += 1
-    count = [defaultdict(float), defaultdict(float)]
-    for c in (0, 1):
-        for g, n in raw[c].items():
-            if len(g) == 7 or g[0] == toxicity.START:
-                count[c][g] += n
-            if len(g) > 1:
-                count[c][g[1:]] += 1
-    for g in set(count[0]) | set(count[1]):
-        if len(g) <= 3:
-            count[0][g] = count[1][g] = count[0][g] + count[1][g]
-    total, left = [defaultdict(float), defaultdict(float)], [defaultdict(float), defaultdict(float)]
-    off = lambda g: 0.75 if len(g) <= 3 else 2.5
-    for c in (0, 1):
-        for g, n in count[c].items():
-            total[c][g[:-1]] += n
-            left[c][g[:-1]] += min(n, off(g))
-
-    def p(c, g):
-        if not g:
-            return 1 / 256
-        t, rest = total[c].get(g[:-1], 0), p(c, g[1:])
-        return (max(count[c].get(g, 0) - off(g), 0) + left[c][g[:-1]] * rest) / t if t else rest
-
-    def ratio(word):
-        m = toxicity.START + word + toxicity.END
-        return sum(math.log(p(0, m[max(0, e - 7) : e])) - math.log(p(1, m[max(0, e - 7) : e])) for e in range(2, len(m) + 1))
-
-    return ratio
-
-
-def test_counts_are_kept_for_every_gram(spark):
-    """However many grams there are, a word's score is that of exact counts: random words hold more 7-grams than 1 << 18."""
-    rng = random.Random(4)
-    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéж") for _ in range(12))
-    docs = [(i, " ".join(word() for _ in range(250))) for i in range(260)]
-    docs += [(1000 + i, "blargish blargan " * 20) for i in range(40)]
-    labels = [(i, int(i >= 1000)) for i, _ in docs]
+    for i, text in docs:
+        half = {1: 1, 2: 1, 3: 2, 4: 2}.get(zlib.crc32(str(i).encode()) % 5)
+        if half in halves:
+            seen[marks[i]].update(text.split())
+            shared.update(set(text.split()))
+    size, total = len(shared), shared.total()
+
+    def p(label, word):
+        """Sums to 1 over the words of `shared` and one more."""
+        counts = seen[label]
+        base = (max(shared[word] - 0.75, 0) + 0.75 * size / (size + 1)) / total
+        return (max(counts[word] - 2.5, 0) + sum(min(n, 2.5) for n in counts.values()) * base) / counts.total()
+
+    return p, [*shared, "unseen"]
+
+
+def test_ratios_against_brute_force(spark):
+    docs, labels = corpus(200)
+    docs = [d[:2] for d in docs]
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rows = {r.word: r for r in model.words.collect()}
+    every = {w for _, t in docs for w in t.split()}
+    assert 20 < len(rows) < len(every)  # words that no class has often are not listed
+    for name, halves in toxicity.MODELS.items():
+        p, known = kneser_ney(docs, labels, halves)
+        assert sum(p(1, w) for w in known) == pytest.approx(1) and sum(p(0, w) for w in known) == pytest.approx(1)
+        for word in [*every, "unseen"]:
+            got = (rows[word][f"ratio_{name}"] if word in rows else 0) + model.rest[name]
+            assert got * toxicity.UNIT == pytest.approx(math.log(p(1, word)) - math.log(p(0, word)), abs=1e-6)
+
+
+def test_words_grow_with_the_input(spark):
+    """Every word that is seen often has its own row, however many there are."""
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(400)) + " ") for i in range(800)]
+    docs = [(i, t * 3) for i, t in docs]
+    labels = [(i, i % 2) for i, _ in docs]
     model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert model.grams.where("length(gram) = 7").count() > 1 << 18
-    want = kneser_ney(docs, labels)
-    asked = ["blargish", "blarg", "unseen", "x", *docs[1][1].split()[:40]]
-    got = {r.word: r.ratio_all * toxicity.UNIT for r in toxicity.word_ratios(model, spark.createDataFrame([(" ".join(asked),)], "text string"), ("all",)).collect()}
-    assert got == {w: pytest.approx(want(w), abs=1e-6) for w in asked}
+    assert model.words.count() == 400 * sum(zlib.crc32(str(i).encode()) % 5 > 0 for i, _ in docs)
+
+
+def test_filter_passes_every_label(spark):
+    ids = list(range(-5, 3000, 7)) + [2**62, -(2**63)]
+    found = toxicity.bloom_filter(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    assert toxicity._may_have(found, np.array(ids)).all()
+    assert toxicity._may_have(found, np.arange(10**6, 10**6 + 20_000)).mean() < 0.05
+    assert not toxicity._may_have(toxicity.bloom_filter(spark.createDataFrame([], "doc_id long")), np.arange(100)).any()
 
 
 def test_scores_do_not_depend_on_the_broadcast(spark, monkeypatch):
