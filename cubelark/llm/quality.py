@@ -1,10 +1,18 @@
 """Quality rules: a linear-chain CRF labels lines, content share decides.
 
 Each line of a document is content or boilerplate.  A linear-chain conditional
-random field over simple line features is trained here, on documents labelled
-good or bad (every line carries its document's label); Viterbi decoding labels
-the lines of all documents.  A document stays if the lines labelled content
-hold at least CONTENT_SHARE of its characters and no base rule rejects it.
+random field over simple line features is trained here on documents labelled
+good or bad; Viterbi decoding labels the lines of all documents.  A document
+stays if the lines labelled content hold at least CONTENT_SHARE of its characters
+and no base rule rejects it.
+
+Nobody labels lines, so these are latent (hard expectation maximisation under the
+documents' labels): the field is fitted to line labels, lines then get the label
+that is likelier under it and their document's label together, and a good document
+must hold at least CONTENT_SHARE of content, a bad one less.  The first field knows
+no neighbours, so that lines of one document can part; the later ones learn from
+sequences that mix both labels.  Documents that a base rule rejects are bad
+whatever their lines are like, so nothing is learnt from these.
 """
 
 from __future__ import annotations
@@ -26,11 +34,14 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 
-#: Documents that the CRF is fitted on at most, lines of one, code points of one line that features look at
-#: in fitting and decoding alike (all of them).
+#: Documents that the CRF is fitted on at most, all their lines; steps of one fit, and how often lines are labelled anew.
 FIT_DOCUMENTS = 4_000
-FIT_LINES = 40
 EPOCHS = 60
+ROUNDS = 4
+#: Lines of one training sequence; longer documents are several sequences.
+SEQUENCE_LINES = 64
+#: What a document's label adds to the log odds of its lines in training.
+DOCUMENT_ODDS = 1.0
 #: Share of a document's non-space characters that must be in content lines.
 CONTENT_SHARE = 0.5
 
@@ -137,69 +148,123 @@ class Crf:
         return np.array(labels[::-1], dtype=bool)
 
 
-def fit(documents: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> Crf:
-    """Maximum likelihood with a quadratic penalty, by Adam on all sequences at once.
-
-    `documents`: line features and label of each.  Sequences are padded to one
-    length, and forward-backward runs over all of them in step.
-    """
-    documents = [(f[:FIT_LINES], y) for f, y in documents if len(f)]
-    k = len(FEATURES)
-    emission, transition = np.zeros((2, k)), np.zeros((2, 2))
-    if not documents or len({y for _, y in documents}) < 2:
+def fit(documents: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rounds: int = ROUNDS) -> Crf:
+    """The field after `rounds` of labelling lines; `documents`: line features, characters of the lines, and label of each."""
+    documents = [d for d in documents if len(d[0])]
+    if len({y for _, _, y in documents}) < 2:
+        emission = np.zeros((2, len(FEATURES)))
         emission[1, 0] = 1.0  # nothing to tell the labels apart: all lines are content
-        return Crf(emission, transition)
-    n, most = len(documents), max(len(f) for f, _ in documents)
-    x, mask, y = np.zeros((n, most, k)), np.zeros((n, most)), np.array([v for _, v in documents])
-    for i, (f, _) in enumerate(documents):
-        x[i, : len(f)], mask[i, : len(f)] = f, 1
-    share = np.array([np.mean(y == v) for v in (0, 1)])
-    weight = (0.5 / share)[y]
-    steps = mask[:, 1:].sum(1)
-    seen_e = np.stack([(x * (mask * (weight * (y == v))[:, None])[:, :, None]).sum((0, 1)) for v in (0, 1)])
-    seen_t = np.diag([float((steps * weight * (y == v)).sum()) for v in (0, 1)])
-    m, v = [np.zeros((2, k)), np.zeros((2, 2))], [np.zeros((2, k)), np.zeros((2, 2))]
-    scale = float((mask.sum(1) * weight).sum())
-    for t in range(1, epochs + 1):
-        s = x @ emission.T
-        alpha, beta = np.zeros((n, most, 2)), np.zeros((n, most, 2))
-        alpha[:, 0] = s[:, 0]
-        for i in range(1, most):
-            step = np.logaddexp.reduce(alpha[:, i - 1, :, None] + transition[None], axis=1) + s[:, i]
-            alpha[:, i] = np.where(mask[:, i, None] > 0, step, alpha[:, i - 1])
-        log_z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        for i in range(most - 2, -1, -1):
-            step = np.logaddexp.reduce(transition[None] + (s[:, i + 1] + beta[:, i + 1])[:, None, :], axis=2)
-            beta[:, i] = np.where(mask[:, i + 1, None] > 0, step, 0)
-        p = np.exp(alpha + beta - log_z[:, None, None]) * (mask * weight[:, None])[:, :, None]
-        pair = np.exp(alpha[:, :-1, :, None] + transition + (s[:, 1:] + beta[:, 1:])[:, :, None, :] - log_z[:, None, None, None]) * (mask[:, 1:] * weight[:, None])[:, :, None, None]
-        grads = [(np.einsum("ntl,ntk->lk", p, x) - seen_e) / scale + 1e-3 * emission, (pair.sum((0, 1)) - seen_t) / scale + 1e-3 * transition]
-        for j, (param, g) in enumerate(zip((emission, transition), grads, strict=True)):
-            m[j], v[j] = 0.9 * m[j] + 0.1 * g, 0.99 * v[j] + 0.01 * g * g
-            param -= 0.2 * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.99**t)) + 1e-8)
-    return Crf(emission, transition)
+        return Crf(emission, np.zeros((2, 2)))
+    x, sizes = np.concatenate([f for f, _, _ in documents]).astype(float), np.concatenate([s for _, s, _ in documents])
+    lengths, y = np.array([len(f) for f, _, _ in documents]), np.array([v for _, _, v in documents])
+    of = np.repeat(np.arange(len(y)), lengths)
+    weight = (0.5 / np.array([np.mean(y == v) for v in (0, 1)]))[y][of]
+    sequences = _Sequences(lengths)
+    labels = y[of]
+    crf = sequences.fit(x, labels, weight, epochs, chained=False)
+    for _ in range(rounds):
+        labels = constrained(sequences.odds(crf, x) + DOCUMENT_ODDS * (2 * y[of] - 1), sizes, of, y)
+        crf = sequences.fit(x, labels, weight, epochs, chained=True)
+    return crf
+
+
+def constrained(odds: np.ndarray, sizes: np.ndarray, of: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The likelier label of each line, but a good document has at least CONTENT_SHARE of its characters in content, a bad one less.
+
+    Where that fails, the lines that are nearest to the other label change over.
+    """
+    labels = (odds >= 0).astype(int)
+    total = np.bincount(of, sizes, len(y))
+    short = np.bincount(of, sizes * labels, len(y)) >= CONTENT_SHARE * total
+    for d in np.flatnonzero(short != (y == 1)):
+        lines = np.flatnonzero(of == d)
+        for i in lines[np.argsort(-odds[lines] * (2 * y[d] - 1), kind="stable")]:
+            labels[i] = y[d]
+            if (sizes[lines] @ labels[lines] >= CONTENT_SHARE * total[d]) == (y[d] == 1):
+                break
+    return labels
+
+
+class _Sequences:
+    """Line sequences of at most SEQUENCE_LINES, longest first.
+
+    Lines are named by their place in the list of all lines; `steps[i]` are the i-th lines of the
+    sequences that have one, and as sequences are sorted, steps[i + 1][j] follows steps[i][j].
+    """
+
+    def __init__(self, lengths: np.ndarray):
+        starts = np.cumsum(lengths) - lengths
+        parts = [(s + k, min(SEQUENCE_LINES, n - k)) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True) for k in range(0, n, SEQUENCE_LINES)]
+        parts.sort(key=lambda part: -part[1])
+        first, size = np.array(parts).T
+        self.steps = [first[size > i] + i for i in range(size[0])]
+        self.after = np.concatenate(self.steps[1:]) if len(self.steps) > 1 else np.zeros(0, dtype=int)
+        self.before, self.last = self.after - 1, first + size - 1
+        self.of = np.repeat(np.arange(len(size)), size)[np.argsort(np.concatenate([np.arange(f, f + n) for f, n in parts]))]
+
+    def expected(self, crf: Crf, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward-backward over all sequences in step: log probabilities of each line's labels, and of those of neighbours."""
+        s = x @ crf.emission.T
+        alpha, beta = s.copy(), np.zeros_like(s)
+        for now in self.steps[1:]:
+            alpha[now] += np.logaddexp.reduce(alpha[now - 1][:, :, None] + crf.transition, axis=1)
+        log_z = np.logaddexp.reduce(alpha[self.last], axis=1)[self.of]
+        for now in self.steps[:0:-1]:
+            beta[now - 1] = np.logaddexp.reduce(crf.transition + (s[now] + beta[now])[:, None, :], axis=2)
+        pair = alpha[self.before][:, :, None] + crf.transition + (s + beta)[self.after][:, None, :] - log_z[self.after][:, None, None]
+        return alpha + beta - log_z[:, None], pair
+
+    def odds(self, crf: Crf, x: np.ndarray) -> np.ndarray:
+        """Log odds of content of each line."""
+        single, _ = self.expected(crf, x)
+        return single[:, 1] - single[:, 0]
+
+    def fit(self, x: np.ndarray, labels: np.ndarray, weight: np.ndarray, epochs: int, chained: bool) -> Crf:
+        """Maximum likelihood with a quadratic penalty, by Adam on all sequences at once; unless `chained` without transitions."""
+        k = x.shape[1]
+        crf = Crf(np.zeros((2, k)), np.zeros((2, 2)))
+        own = np.eye(2)[labels]
+        seen_e = (own * weight[:, None]).T @ x
+        inner = weight[self.after][:, None, None]
+        seen_t = (own[self.before][:, :, None] * own[self.after][:, None, :] * inner).sum(0)
+        m, v = [np.zeros((2, k)), np.zeros((2, 2))], [np.zeros((2, k)), np.zeros((2, 2))]
+        for t in range(1, epochs + 1):
+            single, pair = self.expected(crf, x)
+            grads = [((np.exp(single) * weight[:, None]).T @ x - seen_e) / weight.sum() + 1e-3 * crf.emission, ((np.exp(pair) * inner).sum(0) - seen_t) / weight.sum() + 1e-3 * crf.transition]
+            for j, (param, g) in enumerate(list(zip((crf.emission, crf.transition), grads, strict=True))[: 1 + chained]):
+                m[j], v[j] = 0.9 * m[j] + 0.1 * g, 0.99 * v[j] + 0.01 * g * g
+                param -= 0.2 * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.99**t)) + 1e-8)
+        return crf
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
     """Fits the CRF on at most FIT_DOCUMENTS labelled documents, drawn by a hash of the identifier.
 
-    The sample is bounded whatever the input; it is all that reaches the driver.
+    The sample is bounded whatever the input; it is all that reaches the driver.  Rows that repeat an
+    identifier count as so many documents; without labels of both kinds all lines are content.
     """
     docs = common.documents(df, id_col, text_col)
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IS NOT NULL AND doc_id IS NOT NULL")
     draw = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)
-    rows = common.map_arrow(docs.join(F.broadcast(draw), "doc_id"), _featured, "label int, features binary, size int").orderBy("size", F.xxhash64("features")).collect()
-    return fit([(np.frombuffer(r.features, dtype=np.float32).reshape(-1, len(FEATURES)), r.label) for r in rows])
+    sample = common.map_arrow(docs.join(F.broadcast(draw), "doc_id"), _featured, "label int, features binary, sizes binary")
+    rows = sample.orderBy(F.xxhash64("features"), "features", "label").limit(FIT_DOCUMENTS).collect()  # identifiers may repeat
+    return fit([(np.frombuffer(r.features, dtype=np.float32).reshape(-1, len(FEATURES)), np.frombuffer(r.sizes, dtype=np.int64), r.label) for r in rows])
 
 
 def _featured():
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [statistics(t)[1][:FIT_LINES] for t in batch.column("text").to_pylist()]
-        return pa.record_batch([batch.column("label"), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([len(f) for f in found], pa.int32())], ["label", "features", "size"])
+        found = [statistics(t) for t in batch.column("text").to_pylist()]
+        judged = pa.array([not base_failed(counts) for counts, _, _ in found])
+        columns = [batch.column("label"), pa.array([f.tobytes() for _, f, _ in found], pa.binary()), pa.array([s.tobytes() for _, _, s in found], pa.binary())]
+        return pa.record_batch(columns, ["label", "features", "sizes"]).filter(judged)
 
     return work
 
 
+def base_failed(counts: list[int]) -> bool:
+    return counts[0] < LEAST_WORDS or 100 * counts[4] > MOST_REPEATED * counts[0]
+
+
 def assess(df: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the counts, base_failed, content_share, line_labels and kept.
 
@@ -225,7 +290,7 @@ def assess(df: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "tex
 
 def judge(text: str, crf: Crf) -> tuple:
     counts, features, sizes = statistics(text)
-    failed = counts[0] < LEAST_WORDS or 100 * counts[4] > MOST_REPEATED * counts[0]
+    failed = base_failed(counts)
     if len(sizes):
         labels = crf.viterbi(features)
         share = float(sizes[labels].sum() / sizes.sum())
