@@ -120,7 +120,6 @@ def test_pipeline_against_brute_force(spark, folder):
     near = near_brute(list(kept.items()))
     kept = {i: redacted(t) for i, t in kept.items() if near[i][0] == i}
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     size = {i: len(library.encode(t, add_special_tokens=False)) + 1 for i, t in kept.items()}
 
     docs = table(spark, folder, "documents")

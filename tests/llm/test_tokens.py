@@ -3,7 +3,7 @@ import hashlib
 import random
 import zlib
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import tiktoken
@@ -60,7 +60,6 @@ def test_counts_match_the_library(spark):
 
 def test_packing_is_whole_and_tight(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rows = packing.pack(packing.with_crc(packing.pieces(frame(spark)))).collect()
     of_doc, of_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -77,6 +76,7 @@ def test_packing_is_whole_and_tight(spark):
         assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
         assert sum(r.length for r in own) <= 1024
     assert len(of_sequence) == -(-sum(r.length for r in rows) // 1024)
+    assert {(r.n_sequences, r.least_sequences) for r in rows} == {(len(of_sequence), len(of_sequence))}
     assert packing.pack(packing.with_crc(packing.pieces(frame(spark).limit(0)))).count() == 0
 
 
@@ -103,7 +103,8 @@ def test_bin_completion_beats_or_equals_best_fit():
         counts = defaultdict(int)
         for _ in range(rng.randrange(1, 40)):
             counts[rng.randrange(1, 101)] += rng.randrange(1, 5)
-        patterns = packing.solve(dict(counts), 100)
+        patterns, least, _ = packing.solve(dict(counts), 100)
+        assert packing._used(patterns) >= least
         got = defaultdict(int)
         for filling, copies in patterns:
             assert sum(k * n for k, n in filling) <= 100
@@ -111,3 +112,46 @@ def test_bin_completion_beats_or_equals_best_fit():
                 got[k] += n * copies
         assert got == counts
         assert packing._used(patterns) <= packing._used(packing.best_fit(dict(counts), 100))
+
+
+def fewest(sizes, limit):
+    """The least number of sequences, over all subsets of documents."""
+    full = (1 << len(sizes)) - 1
+    best = [(0, 0)] + [(len(sizes) + 1, 0)] * full  # (sequences, fill of the last one) for each subset
+    for subset in range(full):
+        used, fill = best[subset]
+        for i, size in enumerate(sizes):
+            if not subset >> i & 1:
+                got = (used, fill + size) if used and fill + size <= limit else (used + 1, size)
+                best[subset | 1 << i] = min(best[subset | 1 << i], got)
+    return best[full][0]
+
+
+def test_bin_completion_finds_the_optimum():
+    rng = random.Random(7)
+    searched = 0
+    for _ in range(300):
+        limit = rng.choice([20, 50, 100, 1024])
+        low, high = rng.choice([(1, limit), (limit // 6, limit // 2), (limit // 5, limit // 2)])
+        sizes = [rng.randrange(low, high + 1) for _ in range(rng.randrange(1, 13))]
+        counts = Counter(sizes)
+        patterns, least, proven = packing.solve(dict(counts), limit)
+        want = fewest(sizes, limit)
+        assert proven and least <= want == packing._used(patterns), (limit, sizes)
+        searched += packing._used(packing.best_fit(dict(counts), limit)) > want
+    hard = [210, 221, 278, 281, 302, 335, 341, 353, 367, 427, 461, 461, 475, 487]
+    assert packing._used(packing.solve(Counter(hard), 1024)[0]) == 5 and searched
+
+
+def test_packing_ties_and_clashing_names(spark):
+    rows = [(1, 0, 700, "x", 9, 0)] * 3 + [(1, 0, 300, "x", 9, 1), (None, 0, 324, None, None, 2), (2, 0, 1024, "y", 1, 1)] * 2
+    names = "doc_id long, piece int, length long, bucket string, rank int, `before` int"
+    got = packing.pack(spark.createDataFrame(rows, names)).collect()
+    assert sorted(map(str, (tuple(r)[:6] for r in got))) == sorted(map(str, rows))
+    places = defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
+    assert len(places) == 6
