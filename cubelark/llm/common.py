@@ -26,6 +26,17 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores in front until no column of `df` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """`mapInArrow` with a per-task worker object; long batches are sliced by text size."""
 
