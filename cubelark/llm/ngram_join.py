@@ -9,8 +9,10 @@ one bucket.  A bucket chooses BRANCH coordinates by a hash of its own path and
 splits its sets by the tokens at each of them, so similar sets are likely to
 stay together.  Buckets of at most LEAF sets are compared in full.  A bucket
 that a split hardly shrinks holds near-copies, so it is compared in full, too, in
-blocks if it is large.  The runs are repeated until the probability to miss a
-pair at the threshold is below 1 - TARGET_RECALL.
+blocks if it is large.  The runs are repeated until a pair at the threshold is
+missed with a probability below 1 - TARGET_RECALL.  All runs draw on the same
+tokens, so this is reckoned for each number of tokens that such a pair can share,
+with what the agreement below rules out.
 
 Within a bucket the tokens' agreement rules out most pairs; the rest is verified
 on whole sets.  A pair that meets in several buckets counts in the least of
@@ -38,27 +40,43 @@ THRESHOLD = (4, 5)
 COORDINATES = 64
 BRANCH = 2
 LEAF = 64
-TARGET_RECALL = 0.999999
+TARGET_RECALL = 0.99999
 #: A child with more than this share of its parent's sets is not split further.
 DENSE = 0.6
 #: Splits after which a bucket is compared as it is (in blocks).
 MOST_SPLITS = 8
 #: Sets that one task compares with each other at most, per side.
 BLOCK = 2048
-#: Tokens of COORDINATES in which a pair must agree to be verified; a pair at the threshold has fewer with probability below 1e-4.
-AGREE = 38
+#: Tokens of COORDINATES in which a pair must agree to be verified.
+AGREE = 34
+#: Bits of the filter of texts for each set that is verified.
+BITS_PER_SET = 10
 
 
-def runs_needed(target: float = TARGET_RECALL) -> int:
-    """Runs until a pair at the threshold is missed with probability 1 - target at most.
+def missed(runs: int) -> float:
+    """The probability that a pair at the threshold is missed.
 
-    A split keeps a pair with probability p = 1 - (1 - s q)^BRANCH, where s is the
-    similarity and q the same for the splits below; the fixed point bounds any depth.
+    A split keeps a pair that shares the part t of its tokens with probability
+    1 - (1 - t q)^BRANCH, where q is the same for the splits below; most buckets need fewer splits.
     """
-    s, q = THRESHOLD[0] / THRESHOLD[1], 1.0
-    for _ in range(MOST_SPLITS):
-        q = 1 - (1 - s * q) ** BRANCH
-    return max(1, math.ceil(math.log(1 - target) / math.log(1 - q)))
+    s, total = THRESHOLD[0] / THRESHOLD[1], 0.0
+    for shared in range(COORDINATES + 1):
+        q = 1.0
+        for _ in range(MOST_SPLITS):
+            q = 1 - (1 - shared / COORDINATES * q) ** BRANCH
+        lost = 1.0 if shared < AGREE else (1 - q) ** runs
+        total += math.comb(COORDINATES, shared) * s**shared * (1 - s) ** (COORDINATES - shared) * lost
+    return total
+
+
+def runs_needed(target: float = TARGET_RECALL) -> int:
+    """The least number of runs that misses a pair at the threshold with probability 1 - target at most."""
+    runs = 1
+    while missed(runs) > 1 - target:
+        runs += 1
+        if missed(runs) == missed(runs - 1):
+            raise ValueError(f"AGREE = {AGREE} rules out too many pairs for a recall of {target}")
+    return runs
 
 
 def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,38 +86,47 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     (its own for a document without links), `n_links` the number of other rows
     that are linked to the row, copies included.  A text of one to four words
     has one shingle; a null, empty or wordless text has none and links to
-    nothing.  Rows that repeat an identifier are expected to repeat its text.
-    A null identifier is replaced by a hash of the text.
+    nothing.  Rows that repeat an identifier count each with its own text.
+    A null identifier is replaced by a hash of the text.  An empty table gives no rows.
     """
     docs = common.documents(df, id_col, text_col).withColumn("name", F.coalesce("doc_id", F.xxhash64("text")))
-    sketches = common.written(common.map_arrow(docs, _sketches, "doc_id long, name long, set_key binary, size int, sketch binary"), "sketches")
-    classes = sketches.where("size > 0").groupBy("set_key").agg(F.min("name").alias("node"), F.count("*").alias("copies"))
-    first = classes.withColumnRenamed("set_key", "of_key")
-    nodes = common.written(
-        sketches.where("size > 0").join(first, (F.col("name") == F.col("node")) & (F.col("set_key") == F.col("of_key"))).select("node", "set_key", "copies", "size", "sketch").dropDuplicates(["node"]),
-        "nodes",
-    )
+    sketches = common.written(common.map_arrow(docs, _sketches, "doc_id long, name long, node long, size int, sketch binary"), "sketches")
+    # a node is a set of shingles, by its hash; `name` is the smallest of the documents that have it
+    first = sketches.where("size > 0").groupBy("node").agg(F.min(F.struct("name", "size", "sketch")).alias("first"), F.count("*").alias("copies"))
+    nodes = common.written(first.select("node", "first.name", "copies", "first.size", "first.sketch"), "nodes")
     found = _linked(docs, nodes)
-    components = connected_components(found.where("root != node").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    components = common.written(connected_components(found.where("root != node").select(F.col("node").alias("u"), F.col("root").alias("v"))), "components")
+    names = components.join(nodes.select("node", "name"), "node").groupBy("component").agg(F.min("name").alias("class_id"), F.count("*").alias("n"))
+    classes = common.join_counted(components, names, "component", "n", components.count()).select("node", "class_id")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     settled = (
-        nodes.select("node", "set_key", "copies")
-        .join(components, "node", "left")
+        nodes.select("node", "name", "copies")
+        .join(classes, "node", "left")
         .join(counts, "node", "left")
-        .select(F.col("set_key").alias("key"), F.coalesce("component", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("node", F.coalesce("class_id", "name").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     )
-    return sketches.join(settled, F.col("set_key") == F.col("key"), "left").select("doc_id", F.coalesce("class_id", "name").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("size").cast("long").alias("n_shingles"))
+    settled = common.written(settled, "settled")
+    rows = sketches.select("doc_id", "name", "node", F.col("size").cast("long").alias("n_shingles"))
+    linked = common.join_counted(rows.where("n_shingles > 0"), settled, "node", "copies", sketches.count()).select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), "n_shingles")
+    return linked.unionByName(rows.where("n_shingles = 0").select("doc_id", F.col("name").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_shingles"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with one document of each class of linked documents: the one that names the class.
 
-    Documents without links stay, those without words as well.
+    Documents without links stay, those without words as well.  Rows that repeat
+    an identifier stay or go together, and stay if one of them names its class.
     """
-    kept = links(df, id_col, text_col).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select(F.col("class_id").alias("__kept")).dropDuplicates()
-    named = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    out = df.withColumn("__name", named)
-    return out.join(kept.hint("shuffle_hash"), F.col("__name") == F.col("__kept"), "left_semi").drop("__name")
+    name, kept = common.unused(df, "name", "kept")
+    names = links(df, id_col, text_col).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select(F.col("class_id").alias(kept)).dropDuplicates()
+    named = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    out = df.withColumn(name, named)
+    return out.join(names.hint("shuffle_hash"), F.col(name) == F.col(kept), "left_semi").drop(name)
+
+
+def _node(members: np.ndarray) -> int:
+    """64 bits for a set of shingles, given as sorted distinct hashes."""
+    return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _sketches():
@@ -108,18 +135,15 @@ def _sketches():
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         hashes, offsets = shingles.shingle_hashes(texts)
-        sizes, keys = [], []
+        sets = [np.unique(hashes[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
         full = np.flatnonzero(np.diff(offsets))
         sketch = np.zeros((len(texts), COORDINATES), dtype=np.uint32)
         if len(full):
             with np.errstate(over="ignore"):
                 for c, factor in enumerate(factors):
                     sketch[full, c] = np.minimum.reduceat(((hashes * factor) >> np.uint64(32)).astype(np.uint32), offsets[full])
-        for i in range(len(texts)):
-            own = np.unique(hashes[offsets[i] : offsets[i + 1]])
-            sizes.append(len(own))
-            keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-        return pa.record_batch([batch.column("doc_id"), batch.column("name"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array([s.tobytes() for s in sketch], pa.binary())], ["doc_id", "name", "set_key", "size", "sketch"])
+        columns = [pa.array(list(map(_node, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array([s.tobytes() for s in sketch], pa.binary())]
+        return pa.record_batch([batch.column("doc_id"), batch.column("name"), *columns], ["doc_id", "name", "node", "size", "sketch"])
 
     return work
 
@@ -132,13 +156,17 @@ def _linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     schema = "part long, key long, side int, node long, keys array<long>, copies long, size int"
     likely = common.written(tagged.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_by_part(_likely), schema), "likely")
     common.discard(leaves)
-    wanted = likely.select("node").distinct()
-    # the hint keeps one plan at every size: texts are hashed to where the wanted names are, never sorted
-    texts = docs.join(wanted.hint("shuffle_hash"), F.col("name") == F.col("node"), "left_semi").select("name", "text")
-    sets = common.map_arrow(texts, _sets, "name long, members binary")
-    filled = likely.join(sets, F.col("node") == F.col("name")).drop("name")
-    found = common.written(filled.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_by_part(_verified), "node long, links long, root long"), "links")
-    common.discard(likely)
+    wanted = common.written(likely.select("node").distinct().join(nodes.select("node", "name"), "node").select("node", F.col("name").alias("of")), "wanted")
+    bits = common.bloom_filter(wanted.select("of"), BITS_PER_SET)
+    # texts that nothing asks for stay where they are; the hint keeps one plan at every size: the rest is hashed to
+    # where the wanted names are, never sorted.  Rows that repeat identifier and text count once.
+    asked = common.may_have(docs.select("name", "text"), "name", bits)
+    texts = asked.join(wanted.hint("shuffle_hash"), F.col("name") == F.col("of")).select("name", "node", "text", F.xxhash64("text").alias("h"))
+    texts = texts.groupBy("name", "node", "h").agg(F.first("text").alias("text")).select("node", "text")
+    filled = likely.join(common.map_arrow(texts, _sets, "node long, members binary"), "node")
+    columns = "part", "key", "side", "node", "keys", "copies", "size", "members"
+    found = common.written(filled.select(*columns).repartition("part").sortWithinPartitions("part", "node").mapInArrow(_by_part(_verified), "node long, links long, root long"), "links")
+    common.discard(likely, wanted)
     return found
 
 
@@ -152,7 +180,7 @@ def _leaves(nodes: DataFrame) -> DataFrame:
     for depth in range(MOST_SPLITS):
         children = common.written(common.map_arrow(open_, _split, "node long, key long, used long, parent long"), "buckets")
         sizes = children.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        sized = common.written(children.join(sizes, "key"), "sized")
+        sized = common.written(common.join_counted(children, sizes, "key", "n", children.count()), "sized")
         common.discard(children)
         used_up.append(sized)
         end = (F.col("n") <= LEAF) | ((F.col("parent") > 0) & (F.col("n") > DENSE * F.col("parent"))) | F.lit(depth == MOST_SPLITS - 1)
@@ -224,7 +252,11 @@ def _by_part(compare):
 
 
 def _whole(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    """One batch of all; columns of bytes may exceed 2 GiB together."""
+    table = pa.Table.from_batches(batches)
+    fields = [pa.field(f.name, pa.large_binary() if pa.types.is_binary(f.type) else f.type) for f in table.schema]
+    (whole,) = table.cast(pa.schema(fields)).combine_chunks().to_batches()
+    return whole
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -291,9 +323,13 @@ def _likely(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _sets():
+    """Members of the sets that are asked for; a name may stand for other texts, too."""
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, offsets = shingles.shingle_hashes(batch.column("text").to_pylist())
-        return pa.record_batch([batch.column("name"), pa.array([np.unique(hashes[a:b]).tobytes() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())], ["name", "members"])
+        sets = [np.unique(hashes[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
+        own = np.array(list(map(_node, sets)), dtype=np.int64) == batch.column("node").to_numpy()
+        return pa.record_batch([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"]).filter(pa.array(own))
 
     return work
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, shingles
+from . import common
 
 #: Taken off the classes' counts and off the shared ones.  What one class has seen once or twice counts for neither.
 CLASS_DISCOUNT = 2.5
@@ -48,9 +48,8 @@ SHARED_DISCOUNT = 0.75
 TABLE_WORDS = 1 << 18
 #: Distinct words that a task counts before it passes them on.
 COUNTED_WORDS = 500_000
-#: Bits of the Bloom filter for each label, and at most (8 MB); a fuller filter lets more pass, it loses nothing.
+#: Bits of the Bloom filter for each label.
 BITS_PER_LABEL = 10
-MOST_BITS = 1 << 26
 #: Scores of words are whole numbers of this part, so sums do not depend on their order.
 UNIT = 1e-9
 #: Labelled documents that the calibration is fitted on at most.
@@ -124,9 +123,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .select("doc_id", "label", F.when(F.col("fold") <= 2, 1).otherwise(2).alias("half"))
     )
     docs = common.documents(df, id_col, text_col)
-    shared = df.sparkSession.sparkContext.broadcast(bloom_filter(marks))
+    asked = common.may_have(docs.where("doc_id IS NOT NULL"), "doc_id", common.bloom_filter(marks.select("doc_id"), BITS_PER_LABEL))
     # words travel compressed to the labels, and the hint keeps one plan at every size
-    marked = common.map_arrow(docs.where("doc_id IS NOT NULL"), _packed_words(shared), "doc_id long, words binary").join(marks.hint("shuffle_hash"), "doc_id").select("words", "label", "half")
+    marked = common.map_arrow(asked, _packed_words, "doc_id long, words binary").join(marks.hint("shuffle_hash"), "doc_id").select("words", "label", "half")
     counts = common.written(marked.mapInArrow(_count_words, "word string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]), "counts")
     model = kneser_ney(counts)
     common.discard(counts)
@@ -146,47 +145,12 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def _positions(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Three bits of the Bloom filter for each identifier."""
-    for seed in range(1, 4):
-        with np.errstate(over="ignore"):
-            yield shingles.mixed(ids.astype(np.int64).view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(bits - 1)
+def _packed_words():
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed = [zlib.compress(" ".join(words_of(t)).encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()]
+        return pa.record_batch([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "words"])
 
-
-def bloom_filter(marks: DataFrame) -> np.ndarray:
-    """The filter of the identifiers as words of 64 bits; their number is a power of two."""
-    bits = min(MOST_BITS, 1 << max(6, math.ceil(math.log2(1 + BITS_PER_LABEL * marks.count()))))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(np.concatenate(list(_positions(batch.column("doc_id").to_numpy(zero_copy_only=False), bits))))
-            place, first = np.unique(at >> np.uint64(6), return_index=True)
-            if len(place):
-                yield pa.record_batch([pa.array(place.astype(np.int64)), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first).view(np.int64))], ["place", "bits"])
-
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    found = marks.select("doc_id").mapInArrow(spread, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()  # MOST_BITS / 64 rows at most
-    out[found.column("place").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def _may_have(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    passed = np.ones(len(ids), dtype=bool)
-    for at in _positions(ids, 64 * len(filter_)):
-        passed &= (filter_[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-    return passed
-
-
-def _packed_words(shared):
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            batch = batch.filter(pa.array(_may_have(shared.value, batch.column("doc_id").to_numpy(zero_copy_only=False))))
-            packed = [zlib.compress(" ".join(words_of(t)).encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()]
-            return pa.record_batch([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "words"])
-
-        return work
-
-    return make
+    return work
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

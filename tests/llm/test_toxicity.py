@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cubelark.llm import toxicity
+from cubelark.llm import common, toxicity
 
 
 def corpus(n=600, seed=1):
@@ -95,10 +95,10 @@ def test_words_grow_with_the_input(spark):
 
 def test_filter_passes_every_label(spark):
     ids = list(range(-5, 3000, 7)) + [2**62, -(2**63)]
-    found = toxicity.bloom_filter(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
-    assert toxicity._may_have(found, np.array(ids)).all()
-    assert toxicity._may_have(found, np.arange(10**6, 10**6 + 20_000)).mean() < 0.05
-    assert not toxicity._may_have(toxicity.bloom_filter(spark.createDataFrame([], "doc_id long")), np.arange(100)).any()
+    found = common.bloom_filter(spark.createDataFrame([(i,) for i in ids], "doc_id long"), 10)
+    assert common.passes(found, np.array(ids)).all()
+    assert common.passes(found, np.arange(10**6, 10**6 + 20_000)).mean() < 0.05
+    assert not common.passes(common.bloom_filter(spark.createDataFrame([], "doc_id long"), 10), np.arange(100)).any()
 
 
 def test_scores_do_not_depend_on_the_broadcast(spark, monkeypatch):
