@@ -120,7 +120,8 @@ def extract(x: CubeArray, dimension: str, component: str | None = None) -> CubeA
             if x.features is None:
                 raise UnknownComponentError("the space dimension has no features")
             of = ("feature",)
-            return CubeArray(x.features, F.col("feature"), (Y, X), {d: x.axis(d) for d in (Y, X)}, vtype=types.NOMINAL, labels=x.feature_labels, of=of, coords=of, features=x.features, feature_labels=x.feature_labels, tz=x.tz, crs=x.crs)
+            own = x.features.join(x.axis(Y).frame.select(Y).distinct(), Y, "left_semi").join(x.axis(X).frame.select(X).distinct(), X, "left_semi")
+            return CubeArray(own, F.col("feature"), (Y, X), {d: x.axis(d) for d in (Y, X)}, vtype=types.NOMINAL, labels=x.feature_labels, of=of, coords=of, features=x.features, feature_labels=x.feature_labels, tz=x.tz, crs=x.crs)
         if component not in (X, Y):
             raise UnknownComponentError(f"the space dimension has no component {component!r}")
         return _coordinate(x, component, F.col(component), types.CONTINUOUS, None)

@@ -119,10 +119,11 @@ def _smooth_space(x: CubeArray, reducer: str, call, size: int, limit: int, fill:
         s, c = F.col("__s2"), F.col("__c2")
         value = {"mean": s / c, "percentage": s / c * 100, "none": (s == 0).cast("int")}.get(reducer, s)
         result = F.when((c >= limit) & ((c > 0) | F.lit(reducer == "n")), value)
-        if not fill:
-            result = F.when(F.col(VALUE).isNotNull(), result)
-        frame = frame.select(*x.dims, *[k for k in x.coords if k in frame.columns], result.alias(VALUE))
-        return x.with_frame(frame, dense=True)
+        frame = frame.withColumn("__result", result)
+        if not fill:  # cells that only the passes needed
+            frame = frame.where(F.col(VALUE).isNotNull())
+        frame = frame.select(*x.dims, *[k for k in x.coords if k in frame.columns], F.col("__result").alias(VALUE))
+        return x.with_frame(frame, dense=fill)
     # every value goes to all windows that it lies in
     offsets = [(dy, dx) for dy in range(-size, size + 1) for dx in range(-size, size + 1)]
     sent = frame.where(F.col(VALUE).isNotNull()).withColumn("__o", F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in offsets])))

@@ -81,6 +81,8 @@ def many(spark: SparkSession, sf_dir: str, features: bool = False, **recipe: dic
 
 
 KIND, LEVEL, PEAK, N = q.appearance("kind"), q.reflectance("value"), q.reflectance("peak"), q.artifacts("n")
+#: Where the peak is near its maximum.
+HIGHEST = PEAK.evaluate("greater", PEAK.reduce("max", "time").reduce("max", "space").evaluate("multiply", 0.97))
 ERROR, ACTIVITY = q.entity("error"), q.entity("activity")
 
 # ---- concepts and references
@@ -212,7 +214,7 @@ def op_temporal(spark, sf_dir):
     return first.base.select("time", *[rounded(a.expr).alias(k) for k, a in r.items()])
 
 
-@register("SELECT time, CAST(time > (SELECT max(time) FROM cube WHERE peak > 480) AS DOUBLE) AS v FROM (SELECT DISTINCT time FROM cube)")
+@register("SELECT time, coalesce(CAST(time > (SELECT max(time) FROM cube WHERE peak > 480) AS DOUBLE), 0) AS v FROM (SELECT DISTINCT time FROM cube)")
 def op_after_array(spark, sf_dir):
     late = LEVEL.assign_time().filter(PEAK.evaluate("greater", 480))
     return out(one(spark, sf_dir, LEVEL.extract("time").evaluate("after", late)))
@@ -226,10 +228,10 @@ def op_intersects(spark, sf_dir):
     return out(one(spark, sf_dir, LEVEL.extract("space").evaluate("intersects", q.geometry(SQUARE))))
 
 
-@register("""SELECT DISTINCT y, x, CAST(x BETWEEN (SELECT min(x) FROM cube WHERE peak > 489) AND (SELECT max(x) FROM cube WHERE peak > 489)
-  AND y BETWEEN (SELECT min(y) FROM cube WHERE peak > 489) AND (SELECT max(y) FROM cube WHERE peak > 489) AS DOUBLE) AS v FROM grid""")
+@register("""SELECT DISTINCT y, x, CAST(x BETWEEN (SELECT min(x) FROM cube WHERE peak > (SELECT 0.97 * max(peak) FROM cube)) AND (SELECT max(x) FROM cube WHERE peak > (SELECT 0.97 * max(peak) FROM cube))
+  AND y BETWEEN (SELECT min(y) FROM cube WHERE peak > (SELECT 0.97 * max(peak) FROM cube)) AND (SELECT max(y) FROM cube WHERE peak > (SELECT 0.97 * max(peak) FROM cube)) AS DOUBLE) AS v FROM grid""")
 def op_intersects_array(spark, sf_dir):
-    r = many(spark, sf_dir, high=LEVEL.filter(PEAK.evaluate("greater", 489)).assign_space(), r=LEVEL.extract("space").evaluate("intersects", q.result("high")))
+    r = many(spark, sf_dir, high=LEVEL.filter(HIGHEST).assign_space(), r=LEVEL.extract("space").evaluate("intersects", q.result("high")))
     return out(r["r"])
 
 
@@ -391,7 +393,7 @@ def smooth_time_fill(spark, sf_dir):
 
 @register("SELECT a.time, a.y, a.x, round(CASE WHEN count(b.value) >= 2 THEN avg(b.value) END, 6) AS v FROM cube a JOIN cube b ON a.time = b.time AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.time, a.y, a.x")
 def smooth_space_mean(spark, sf_dir):
-    return out(one(spark, sf_dir, LEVEL.smooth("mean", "space", 1))).where("v IS NOT NULL")
+    return out(one(spark, sf_dir, LEVEL.smooth("mean", "space", 1)))
 
 
 @register("SELECT a.time, a.y, a.x, round(CASE WHEN count(b.value) >= 2 THEN median(b.value) END, 6) AS v FROM cube a JOIN cube b ON a.time = b.time AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.time, a.y, a.x")
@@ -399,15 +401,15 @@ def smooth_space_median(spark, sf_dir):
     return out(one(spark, sf_dir, LEVEL.smooth("median", "space", 1)))
 
 
-@register("SELECT time, y, x, round(CASE WHEN peak > 489 THEN value END, 6) AS v FROM cube WHERE time IN (SELECT time FROM cube WHERE peak > 489)")
+@register("SELECT time, y, x, round(CASE WHEN peak > (SELECT 0.97 * max(peak) FROM cube) THEN value END, 6) AS v FROM cube WHERE time IN (SELECT time FROM cube WHERE peak > (SELECT 0.97 * max(peak) FROM cube))")
 def trim_time(spark, sf_dir):
-    return out(one(spark, sf_dir, LEVEL.filter(PEAK.evaluate("greater", 489)).trim("time")))
+    return out(one(spark, sf_dir, LEVEL.filter(HIGHEST).trim("time")))
 
 
-@register("""SELECT time, y, x, round(CASE WHEN peak > 489 THEN value END, 6) AS v FROM cube, (SELECT min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM cube WHERE peak > 489)
+@register("""SELECT time, y, x, round(CASE WHEN peak > (SELECT 0.97 * max(peak) FROM cube) THEN value END, 6) AS v FROM cube, (SELECT min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM cube WHERE peak > (SELECT 0.97 * max(peak) FROM cube))
 WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1""")
 def trim_space(spark, sf_dir):
-    return out(one(spark, sf_dir, LEVEL.filter(PEAK.evaluate("greater", 489)).trim("space")))
+    return out(one(spark, sf_dir, LEVEL.filter(HIGHEST).trim("space")))
 
 
 FILL_SQL = """SELECT g.time, g.y, g.x, round(CASE WHEN c.value IS NOT NULL THEN c.value WHEN b.time IS NULL AND a.time IS NULL THEN NULL {rule} END, 6) AS v

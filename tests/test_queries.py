@@ -1,4 +1,4 @@
-"""Every registered cube query against its SQL on the smallest tables."""
+"""Every registered cube query against its SQL on the smallest tables, or those that CUBE_TABLES names."""
 
 import glob
 import os
@@ -7,7 +7,7 @@ import pytest
 
 from cubelark import queries
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = os.environ.get("CUBE_TABLES", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables are not here")
 
 
