@@ -4,10 +4,37 @@ from __future__ import annotations
 
 import base64
 import json
+import unicodedata
 from array import array
 
 import public_tokenizers
 
+
+def _classes() -> tuple[str, str, str]:
+    """Letters, numbers and what no class is sure of, as ranges of a regular expression, over all code points.
+
+    Sure are letters and numbers that Unicode 3.2 had already, and what is neither; libraries may
+    know later letters or not, and may know some that are unassigned here.
+    """
+    ranges: dict[str, list[list[int]]] = {"L": [], "N": [], "?": []}
+    for code in range(0x110000):
+        char = chr(code)
+        category = unicodedata.category(char)
+        kind = category[0] if category[0] in "LN" else "?" if category in ("Cn", "Cs") else None
+        if kind in ("L", "N") and unicodedata.ucd_3_2_0.category(char)[0] != kind:
+            kind = "?"
+        if kind and ranges[kind] and ranges[kind][-1][1] == code - 1:
+            ranges[kind][-1][1] = code
+        elif kind:
+            ranges[kind].append([code, code])
+    return tuple("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges[k]) for k in ("L", "N", "?"))
+
+
+#: Letters, numbers and unsure code points, for the pre-token pattern's \p{L} and \p{N}; and its white space.
+LETTERS, NUMBERS, UNSURE = _classes()
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def _byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in .json vocabularies: printable ones for themselves, the rest from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

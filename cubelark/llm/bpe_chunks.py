@@ -22,8 +22,11 @@ from . import bpe, common
 #: Code points of a chunk without its overlap, and of the overlap.
 CHUNK = 65_536
 OVERLAP = 512
-#: Here every pre-tokenisation begins a piece, whatever stands to the left.
-IN_STEP = re.compile(r" (?=[A-Za-z0-9])")
+#: Here every pre-tokenisation begins a piece, whatever stands to the left, and what stands to the left has the same
+#: pieces alone: at a blank before a letter or number, and at a letter or number after something else that is no blank,
+#: no apostrophe, and no longer white space.  Two code points to the left are looked at.
+_L, _N, _S = bpe.LETTERS, bpe.NUMBERS, bpe.SPACES
+IN_STEP = re.compile(f" (?=[{_L}{_N}])|(?<=[{_S}])(?<! )(?<![{_S}][{_S}])(?=[{_L}{_N}])|(?<=[^{_S}{_L}{_N}{bpe.UNSURE}'])(?=[{_L}{_N}])|(?<=[{_L}])(?=[{_N}])|(?<=[{_N}])(?=[{_L}])")
 
 _CHUNKS = "doc_id long, row long, k int, last boolean, base long, text string"
 _PIECES = "doc_id long, row long, k int, last boolean, begin long, finish long, ids binary"
@@ -85,11 +88,11 @@ def chunk_starts(text: str, chunk: int, overlap: int) -> list[int]:
     """
     starts, at = [0], chunk
     while at + overlap < len(text):
-        if not IN_STEP.search(text, at, at + overlap):
-            later = IN_STEP.search(text, at)
-            if later is None or later.start() + overlap >= len(text):
+        if not IN_STEP.search(text, at + 2, at + overlap):
+            later = IN_STEP.search(text, at + 2)
+            if later is None or later.start() - 2 + overlap >= len(text):
                 break
-            at = later.start()
+            at = later.start() - 2
         starts.append(at)
         at += chunk
     return starts
@@ -120,8 +123,8 @@ def in_step(text: str, first: bool, last: bool, overlap: int) -> tuple[int, int]
     """
     boundaries = _boundaries(text)
     step = lambda low, high: next(b for b in boundaries if low <= b < high and IN_STEP.match(text, b))
-    begin = 0 if first else step(0, overlap)
-    finish = len(text) if last else step(len(text) - overlap, len(text))
+    begin = 0 if first else step(2, overlap)  # a chunk doesn't know what stands before it
+    finish = len(text) if last else step(len(text) - overlap + 2, len(text))
     return begin, finish
 
 

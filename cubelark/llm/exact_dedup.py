@@ -6,10 +6,11 @@ whatever the texts' length; ordering and equality are decided on whole texts.
 Inside a range partition Spark's external sort puts equal texts next to each
 other and the window operator compares neighbours in full.
 
-A text that a large share of the rows carry would fill one range.  Rows of such
-hot hashes are salted by identifier, so each salt is sorted on its own; what all
-salts of a hot text come to is aggregated map-side by the whole text (there are
-about HOT_KEYS such texts at most, whatever the input) and joined back.
+A text that very many rows carry would fill one range.  Rows of such hot hashes
+(more than HOT_ROWS rows, and a share of all rows) are salted by identifier, so
+each salt is sorted on its own; what all salts of a hot text come to is aggregated
+map-side by the whole text (there are about HOT_KEYS such texts at most, whatever
+the input) and joined back.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: A hash counts as hot from this share of all rows on, so there are at most HOT_KEYS of them.
+#: A hash is hot with more rows than this, if these are one in HOT_KEYS of all rows; so there are at most HOT_KEYS of them.
+HOT_ROWS = 1_000
 HOT_KEYS = 2048
 #: Parts that a hot group is dealt into.
 SALTS = 64
@@ -60,7 +62,7 @@ def _judged(df: DataFrame, id_col: str, text_col: str, keep: str, carry: list[st
     )
     counts = docs.groupBy("h").agg(F.count("*").alias("n"))
     total = docs.agg(F.count("*")).scalar()
-    hot = counts.where((F.col("n") > 1) & (F.col("n") * HOT_KEYS > total)).select(F.col("h").alias("hot_h"))
+    hot = counts.where((F.col("n") > HOT_ROWS) & (F.col("n") * HOT_KEYS > total)).select(F.col("h").alias("hot_h"))
     routed = (
         docs.join(F.broadcast(hot), F.col("h") == F.col("hot_h"), "left")
         .withColumn("hot", F.col("hot_h").isNotNull())

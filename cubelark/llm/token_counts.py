@@ -3,8 +3,9 @@
 Tier one is a table of the token counts of frequent pre-tokens, broadcast to all
 workers; its size is bounded (TABLE_ENTRIES entries of at most KEY_CHARS code
 points).  Tier two is a bounded cache in each worker, filled by encoding misses
-with the library.  No pre-token is ever shuffled: to find the frequent ones each
-task counts all its pre-tokens in a bounded summary, and only summaries move.
+with the library.  No pre-token is shuffled: the frequent ones are those of a
+sample of SAMPLE_DOCUMENTS documents, whose counts go straight to the driver.  The
+sample only decides what is looked up fast; every document is counted in full.
 """
 
 from __future__ import annotations
@@ -19,52 +20,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import bpe, common
 
 #: Entries of the broadcast table, code points of a key in it.
 TABLE_ENTRIES = 65_536
 KEY_CHARS = 32
-#: Counters that a task holds, and those of them that it reports.
-SUMMARY_COUNTERS = 200_000
+#: Documents that the table is made from at most, and pre-tokens that a task reports of them.
+SAMPLE_DOCUMENTS = 5_000
 SUMMARY_ROWS = 8_192
 #: Pre-tokens that a worker's cache holds; a full one starts anew.
 CACHE_ENTRIES = 300_000
 
-#: Fixed: letters, digits and white space up to U+024F, by the Unicode tables, and what the pre-token
-#: pattern means by them.  Texts with other letters go to the library as they are.
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-NUMBERS = "0-9²³¹¼-¾"
-SPACES = "\t-\r \x85\xa0"
-OTHER_SCRIPT = re.compile("[^\x00-ɏ‐-‧]|[\x1c-\x1f]")
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+#: Texts with code points of an unsure class, or that regular expressions treat as white space and Unicode does not, go to the library as they are.
+UNSURE = re.compile(f"[{bpe.UNSURE}]|[\x1c-\x1f]")
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{bpe.LETTERS}]+| ?[{bpe.NUMBERS}]+| ?[^{bpe.SPACES}{bpe.LETTERS}{bpe.NUMBERS}]+|[{bpe.SPACES}]+(?![^{bpe.SPACES}])|[{bpe.SPACES}]+")
 
 
-def frequent_pieces(df: DataFrame, text_col: str = "text", entries: int = TABLE_ENTRIES) -> list[str]:
-    """The most frequent pre-tokens of all texts, by the tasks' summaries."""
+def frequent_pieces(docs: DataFrame, entries: int = TABLE_ENTRIES, sample: int = SAMPLE_DOCUMENTS) -> list[str]:
+    """The most frequent pre-tokens of a sample of the documents, drawn by a hash of the identifier."""
+    draw = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    bits = common.bloom_filter(draw.where("doc_id IS NOT NULL"), 16)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
-            for part in common.slices(batch):
-                for text in part.column("text").to_pylist():
-                    counts.update(PIECES.findall(text))
-                    if len(counts) > 2 * SUMMARY_COUNTERS:
-                        counts = Counter(dict(counts.most_common(SUMMARY_COUNTERS)))
-        best = [(k, n) for k, n in counts.most_common(SUMMARY_ROWS) if len(k) <= KEY_CHARS]
+            for text in batch.column("text"):
+                counts.update(p for p in PIECES.findall(text.as_py()) if len(p) <= KEY_CHARS)
+        best = counts.most_common(SUMMARY_ROWS)
         yield pa.record_batch([pa.array([k for k, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["piece", "n"])
 
-    texts = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    summed = texts.mapInArrow(summarise, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece for r in summed.orderBy(F.desc("n"), "piece").limit(entries).collect()]
+    found = common.may_have(docs.where("doc_id IS NOT NULL"), "doc_id", bits).mapInArrow(summarise, "piece string, n long").toArrow()
+    total: Counter[str] = Counter()
+    for piece, n in zip(found.column("piece").to_pylist(), found.column("n").to_pylist(), strict=True):
+        total[piece] += n
+    return sorted(total, key=lambda piece: (-total[piece], piece))[:entries]
 
 
 def count_tokens(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_tokens.  A null or empty text has none.
+    """One row per input row: doc_id, n_bytes, n_tokens.  A null or empty text has none; rows may repeat.
 
     Special strings inside a text count as the library's default has them: as one token.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    pieces = frequent_pieces(df, text_col)
+    docs = common.documents(df, id_col, text_col)
+    pieces = frequent_pieces(docs)
     lengths = _Library(path).lengths(pieces)
     table = df.sparkSession.sparkContext.broadcast((pieces, bytes(min(n, 255) for n in lengths)))
 
@@ -77,7 +76,7 @@ def count_tokens(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
         return work
 
-    return common.map_arrow(common.documents(df, id_col, text_col), make, "doc_id long, n_bytes long, n_tokens long")
+    return common.map_arrow(docs, make, "doc_id long, n_bytes long, n_tokens long")
 
 
 class _Library:
@@ -108,7 +107,7 @@ class _Counter:
         split: list[tuple[int, list[str]]] = []
         missing: dict[str, None] = {}
         for i, text in enumerate(texts):
-            if OTHER_SCRIPT.search(text):
+            if UNSURE.search(text):
                 counts[i] = self.library.lengths([text])[0]
                 continue
             parts = self.special.split(text)

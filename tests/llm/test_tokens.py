@@ -50,6 +50,26 @@ def test_chunks_meet():
         assert reached == len(text)
 
 
+SCRIPTS = ["мир", "Ωδη", "中文字", "かな", "한국", "عربي", "עברית", "हिन्दी", "ไทย", "١٢", "Ⅷ", "½", "é́", "。", "，", "\u3000", "\u2028", "😀", "🫠", "\U0001e900", "\U00030000", "\ua7c0", "'s", "a", "7", " ", "\n", "’", "_"]
+
+
+def test_every_script_is_in_step(spark):
+    """Chunks and counts of texts in any script, with letters that later versions of Unicode brought."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(SCRIPTS) for _ in range(rng.randrange(1, 400))) for _ in range(300)]
+    texts += ["漢字、" * 400, "\n".join(["слово"] * 400), "字" * 900, "a1" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ranks = bpe_chunks.bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r.ids_sha256 for r in bpe_chunks.digest(bpe_chunks.encode(df, chunk=60, overlap=20)).collect()}
+    assert got == {i: hashlib.sha256(array("I", library.encode_ordinary(t)).tobytes()).hexdigest() for i, t in enumerate(texts)}
+    assert len(bpe_chunks.cut(texts[-4], 60, 20)) > 10 < len(bpe_chunks.cut(texts[-3], 60, 20)) and len(bpe_chunks.cut(texts[-2], 60, 20)) == 1
+    counter = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df).collect()}
+    assert got == {i: len(counter.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
+    assert not token_counts.UNSURE.search("мир Ωδη 中文 かな 한국 عربي हिन्दी ١٢ 😀")
+
+
 def test_counts_match_the_library(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(frame(spark)).collect()}
