@@ -11,22 +11,23 @@ import public_tokenizers
 
 
 def _classes() -> tuple[str, str, str]:
-    """Letters, numbers and what no class is sure of, as ranges of a regular expression, over all code points.
+    """Letters, numbers and what no class is sure of, as ranges of a regular expression.
 
-    Sure are letters and numbers that Unicode 3.2 had already, and what is neither; libraries may
-    know later letters or not, and may know some that are unassigned here.
+    Sure are letters and numbers of the basic plane that Unicode 3.2 had already, and what is
+    neither; libraries may know later letters or not, and may know some that are unassigned here.
+    Of the other planes only the pictographs are sure, which keeps the sets fast.
     """
     ranges: dict[str, list[list[int]]] = {"L": [], "N": [], "?": []}
-    for code in range(0x110000):
-        char = chr(code)
-        category = unicodedata.category(char)
+    for code in range(0x10000):
+        category = unicodedata.category(chr(code))
         kind = category[0] if category[0] in "LN" else "?" if category in ("Cn", "Cs") else None
-        if kind in ("L", "N") and unicodedata.ucd_3_2_0.category(char)[0] != kind:
+        if kind in ("L", "N") and unicodedata.ucd_3_2_0.category(chr(code))[0] != kind:
             kind = "?"
         if kind and ranges[kind] and ranges[kind][-1][1] == code - 1:
             ranges[kind][-1][1] = code
         elif kind:
             ranges[kind].append([code, code])
+    ranges["?"] += [[0x10000, 0x1EFFF], [0x1F100, 0x1F10C], [0x1FB00, 0x10FFFF]]
     return tuple("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges[k]) for k in ("L", "N", "?"))
 
 

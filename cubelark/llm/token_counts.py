@@ -26,7 +26,7 @@ from . import bpe, common
 TABLE_ENTRIES = 65_536
 KEY_CHARS = 32
 #: Documents that the table is made from at most, and pre-tokens that a task reports of them.
-SAMPLE_DOCUMENTS = 5_000
+SAMPLE_DOCUMENTS = 2_000
 SUMMARY_ROWS = 8_192
 #: Pre-tokens that a worker's cache holds; a full one starts anew.
 CACHE_ENTRIES = 300_000
