@@ -29,7 +29,7 @@ from . import bpe, common
 
 LIMIT = 1024
 #: Fillings that the search looks at before it settles for the best packing found; `solve` says if that happened.
-NODE_LIMIT = 20_000
+NODE_LIMIT = 100_000
 #: Rows of one length in a bucket in which ranks are counted, about.
 BUCKET_ROWS = 1_000
 
@@ -157,9 +157,12 @@ def solve(counts: dict[int, int], limit: int, node_limit: int = NODE_LIMIT) -> t
     while todo and _used(best) > least and nodes < node_limit:
         nodes += 1
         afford = (_used(best) - 1) * limit - total
-        filling, copies = next(todo[-1], (None, 0))
-        lost = waste[-1] + copies * (limit - sum(k * n for k, n in filling)) if filling else 0
-        if filling is None or copies == 1 and lost > afford:  # later fillings waste more
+        branch = next(todo[-1], None)
+        if branch == _DOMINATED:
+            continue
+        filling, copies = branch or ((), 0)
+        lost = waste[-1] + copies * (limit - sum(k * n for k, n in filling))
+        if branch is None or copies == 1 and lost > afford:  # later fillings waste more
             todo.pop()
             if chosen:
                 _put_back(left, chosen.pop())
@@ -194,10 +197,17 @@ def _put_back(left: dict[int, int], pattern: Pattern) -> None:
         left[k] = left.get(k, 0) + n * pattern[1]
 
 
-def _branches(left: dict[int, int], limit: int) -> Iterator[tuple[tuple[tuple[int, int], ...], int]]:
+#: Instead of a filling that is dominated, so that these count as looked at.
+_DOMINATED: Pattern = ((), 0)
+
+
+def _branches(left: dict[int, int], limit: int) -> Iterator[Pattern]:
     """Fillings around the largest length of `left` as it is now, each with falling multiplicities down to one."""
     left = dict(left)
     for filling in _fillings(left, limit):
+        if not filling:
+            yield _DOMINATED
+            continue
         copies = min(left[k] // n for k, n in filling)
         while copies:
             yield filling, copies
@@ -205,7 +215,7 @@ def _branches(left: dict[int, int], limit: int) -> Iterator[tuple[tuple[tuple[in
 
 
 def _fillings(left: dict[int, int], limit: int) -> Iterator[tuple[tuple[int, int], ...]]:
-    """All undominated ways to complete the largest length, least waste first, then fewest documents first by size.
+    """All undominated ways to complete the largest length, least waste first; nothing in place of dominated ones.
 
     One document that fills the gap exactly dominates every other filling.
     """
@@ -244,8 +254,7 @@ def _fillings(left: dict[int, int], limit: int) -> Iterator[tuple[tuple[int, int
     for waste in range(gap + 1):
         if sums[0] >> (gap - waste) & 1:
             for filling in exactly(0, gap - waste):
-                if not _dominated(filling, rest, sizes, waste):
-                    yield _pattern((largest, *filling))
+                yield () if _dominated(filling, rest, sizes, waste) else _pattern((largest, *filling))
 
 
 def _dominated(filling: tuple[int, ...], rest: dict[int, int], sizes: list[int], waste: int) -> bool:
