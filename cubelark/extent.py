@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 import re
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .errors import MixedTimeZonesError
 from .functions import geometry
@@ -52,33 +53,27 @@ class SpatialExtent:
 
         `resolution` is (y, x), negative for an axis that falls.  Centres lie
         half a step inside the bounds, snapped to multiples of the step.  Of
-        overlapping features the later one counts.
+        overlapping features the later one counts.  The cells are made and
+        tested on the executors.
         """
         if crs is not None and geometry.crs_name(crs) != self.crs:
             raise NotImplementedError(f"can't reproject from {self.crs} to {crs}")
         dy, dx = (abs(float(v)) for v in resolution)
         x0, y0, x1, y1 = self.bounds
-        xs = (np.arange(np.floor(x0 / dx), np.ceil(x1 / dx)) + 0.5) * dx
-        ys = (np.arange(np.floor(y0 / dy), np.ceil(y1 / dy)) + 0.5) * dy
-        if resolution[0] < 0:
-            ys = ys[::-1]
-        gy, gx = np.meshgrid(ys, xs, indexing="ij")
-        return _table(spark, self, gy.ravel(), gx.ravel())
+        first_y, first_x = math.floor(y0 / dy), math.floor(x0 / dx)
+        rows, columns = math.ceil(y1 / dy) - first_y, math.ceil(x1 / dx) - first_x
+        place = lambda first, at, step: (at.cast("double") + F.lit(first + 0.5)) * F.lit(step)
+        row = F.floor(F.col("id") / columns)
+        return self._marked(spark.range(rows * columns).select(place(first_y, row, dy).alias("y"), place(first_x, F.col("id") % columns, dx).alias("x")))
 
     def over(self, spark: SparkSession, ys: list[float], xs: list[float]) -> DataFrame:
-        """The same for given coordinates."""
-        gy, gx = np.meshgrid(np.array(ys, dtype=float), np.array(xs, dtype=float), indexing="ij")
-        return _table(spark, self, gy.ravel(), gx.ravel())
+        """The same for given coordinates, two lists of the driver's."""
+        y, x = (spark.createDataFrame([(float(v),) for v in values], f"{name} double") for name, values in (("y", ys), ("x", xs)))
+        return self._marked(y.crossJoin(F.broadcast(x)))
 
-
-def _table(spark: SparkSession, extent: SpatialExtent, ys: np.ndarray, xs: np.ndarray) -> DataFrame:
-    import pandas as pd
-
-    feature = np.zeros(len(ys), dtype=int)
-    for i, (g, _) in enumerate(extent.features, 1):
-        feature[geometry.contains_points(g, xs, ys)] = i
-    frame = pd.DataFrame({"y": ys, "x": xs, "feature": [int(f) or None for f in feature]}, dtype=object)
-    return spark.createDataFrame(frame, "y double, x double, feature int")
+    def _marked(self, cells: DataFrame) -> DataFrame:
+        inside = [F.when(geometry.contains(g, F.col("x"), F.col("y")), i) for i, (g, _) in enumerate(self.features, 1)]
+        return cells.withColumn("feature", F.coalesce(*reversed(inside), F.lit(None)).cast("int"))
 
 
 @dataclass

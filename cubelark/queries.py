@@ -600,6 +600,197 @@ def extent_in_time(spark, sf_dir):
     return x.df.withColumn("v", F.round("v", 4))
 
 
+# ---- mapped verbs: a verb on a collection works on each of its arrays
+
+
+BANDS = "(SELECT unnest(['low', 'high']) AS band)"
+BAND = "CASE band WHEN 'low' THEN value ELSE peak END"
+
+
+def both(of=lambda x: x):
+    return q.collection(of(LEVEL).name("low"), of(PEAK).name("high"))
+
+
+@register(f"SELECT band, time, y, x, round({BAND} + 1, 6) AS v FROM cube, {BANDS}")
+def mapped_evaluate(spark, sf_dir):
+    return out(one(spark, sf_dir, both().evaluate("add", 1).concatenate("band")))
+
+
+@register("SELECT band, time, CAST(day(time) AS DOUBLE) AS v FROM (SELECT DISTINCT time FROM cube), (SELECT unnest(['1', '2']) AS band)")  # coordinates have no name, so they are numbered
+def mapped_extract(spark, sf_dir):
+    return out(one(spark, sf_dir, both().extract("time", "day").concatenate("band")))
+
+
+@register(f"SELECT band, time, y, x, 7.0 AS v FROM cube, {BANDS}")
+def mapped_assign(spark, sf_dir):
+    return out(one(spark, sf_dir, both().assign(7).concatenate("band")))
+
+
+@register(f"SELECT band, b.time, y, x, round({BAND}, 6) AS v FROM cube JOIN tpos a ON cube.time = a.time JOIN tpos b ON b.p = a.p + 1, {BANDS}")
+def mapped_shift(spark, sf_dir):
+    return out(one(spark, sf_dir, both().shift("time", 1).concatenate("band")))
+
+
+@register(f"""SELECT band, time, y, x, round(CASE WHEN count({BAND}) OVER w >= 2 THEN max({BAND}) OVER w END, 6) AS v
+FROM cube JOIN tpos USING (time), {BANDS} WINDOW w AS (PARTITION BY band, y, x ORDER BY p RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
+def mapped_smooth(spark, sf_dir):
+    return out(one(spark, sf_dir, both().smooth("max", "time", 1).concatenate("band")))
+
+
+@register(f"SELECT band, time, y, x, round(CASE WHEN peak > (SELECT 0.97 * max(peak) FROM cube) THEN {BAND} END, 6) AS v FROM cube, {BANDS} WHERE time IN (SELECT time FROM cube WHERE peak > (SELECT 0.97 * max(peak) FROM cube))")
+def mapped_trim(spark, sf_dir):
+    return out(one(spark, sf_dir, both(lambda x: x.filter(HIGHEST)).trim("time").concatenate("band")))
+
+
+_NEAREST = FILL_SQL.format(rule="WHEN b.time IS NULL THEN a.value WHEN a.time IS NULL THEN b.value WHEN epoch(g.time) - epoch(b.time) <= epoch(a.time) - epoch(g.time) THEN b.value ELSE a.value").replace("SELECT g.time", "SELECT '{band}' AS band, g.time")
+
+
+@register(_NEAREST.format(band="low") + " UNION ALL " + _NEAREST.format(band="high").replace("value", "peak"))
+def mapped_fill(spark, sf_dir):
+    return out(one(spark, sf_dir, both(lambda x: x.filter(N.evaluate("greater", 1))).fill("time", "nearest").concatenate("band")))
+
+
+@register(f"SELECT band, time, y, x, 1.0 AS v FROM cube, {BANDS}")
+def mapped_apply_custom(spark, sf_dir):
+    return out(one(spark, sf_dir, both().apply_custom("ones").concatenate("band"), custom_verbs={"ones": lambda x: x.with_expr(F.lit(1.0))}))
+
+
+# ---- every reducer in a window and over a collection
+
+IN_WINDOW = {
+    "max": "max(value)", "min": "min(value)", "n": "count(value)", "product": "product(value / 100)", "variance": "var_pop(value)", "standard_deviation": "stddev_pop(value)",
+    "range": "max(value) - min(value)", "first": "first_value(value IGNORE NULLS)", "last": "last_value(value IGNORE NULLS)",
+}
+OVER_COLLECTION = {
+    "mean": "list_avg(s)", "max": "list_max(s)", "min": "list_min(s)", "n": "len(s)", "product": "list_product(s)", "range": "list_max(s) - list_min(s)",
+    "variance": "list_var_pop(s)", "standard_deviation": "list_stddev_pop(s)", "first": "s[1]", "last": "s[-1]",
+}
+OF_FLAGS = {"all": "list_min(s)", "none": "1 - list_max(s)", "count": "list_sum(s)"}
+
+
+def _smooth_with(reducer: str, aggregate: str) -> None:
+    def query(spark, sf_dir):
+        return out(one(spark, sf_dir, (GAPPY.evaluate("divide", 100) if reducer == "product" else GAPPY).smooth(reducer, "time", 2)))
+
+    query.__name__ = f"smooth_time_with_{reducer}"
+    over = " - ".join(f"{part} OVER w" for part in aggregate.split(" - "))
+    register(_smooth_sql("{}").replace("{} OVER w", over))(query)
+
+
+def _merge_with(reducer: str, parts: tuple, values: str, of: str) -> None:
+    def query(spark, sf_dir):
+        return out(one(spark, sf_dir, q.collection(*parts).merge(reducer)))
+
+    query.__name__ = f"merge_with_{reducer}"
+    register(f"SELECT time, y, x, round(CAST({of} AS DOUBLE), 6) AS v FROM (SELECT time, y, x, list_filter([{values}], lambda e: e IS NOT NULL) AS s FROM cube)")(query)
+
+
+for _reducer, _sql in IN_WINDOW.items():
+    _smooth_with(_reducer, _sql)
+for _reducer, _sql in OVER_COLLECTION.items():
+    _merge_with(_reducer, (GAPPY, PEAK, LEVEL.evaluate("divide", 2)), "CASE WHEN n > 1 THEN value END, peak, value / 2", _sql)
+for _reducer, _sql in OF_FLAGS.items():
+    _merge_with(_reducer, (ERROR, ACTIVITY, LEVEL.evaluate("greater", 100)), "CAST(kind = 2 AS INT), CAST(kind IN (1, 5) AS INT), CAST(value > 100 AS INT)", _sql)
+
+
+# ---- extents, axes and sinks
+
+TWO_AREAS = {"type": "FeatureCollection", "features": [
+    {"type": "Feature", "properties": {"name": "a"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]]}},
+    {"type": "Feature", "properties": {"name": "b"}, "geometry": {"type": "Polygon", "coordinates": [[[2, 2], [6, 2], [6, 6], [2, 6], [2, 2]]]}},
+]}
+
+
+@register("SELECT i + 0.5 AS y, j + 0.5 AS x, CASE WHEN i >= 2 AND j >= 2 THEN 2 WHEN i < 4 AND j < 4 THEN 1 END AS feature FROM (SELECT CAST(unnest(generate_series(0, 5)) AS DOUBLE) AS i), (SELECT CAST(unnest(generate_series(0, 5)) AS DOUBLE) AS j)", "")
+def extent_rasterized(spark, sf_dir):
+    from .extent import SpatialExtent
+
+    return SpatialExtent.from_geojson(TWO_AREAS, "EPSG:3035").rasterize(spark, (-1, 1))
+
+
+@register("SELECT CASE WHEN x >= 2 AND y >= 2 THEN 2 ELSE 1 END AS feature, time, round(avg(value), 6) AS v FROM cube WHERE (x <= 4 AND y <= 4) OR (x BETWEEN 2 AND 6 AND y BETWEEN 2 AND 6) GROUP BY ALL")
+def extent_of_areas(spark, sf_dir):
+    from .extent import SpatialExtent
+    from .plans.processor import QueryProcessor
+    from .sources.base import Extent
+
+    cells = SpatialExtent.from_geojson(TWO_AREAS, "EPSG:3035").over(spark, list(range(8)), list(range(8))).where("feature IS NOT NULL")
+    extent = Extent(spark, space=cells.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "feature"))
+    by_area = LEVEL.groupby_space("feature").reduce("mean", "space").concatenate("feature")
+    x = QueryProcessor.parse({"r": by_area}, fixtures.source(spark, sf_dir), fixtures.ontology(), spark=spark, extent=extent).execute()["r"]
+    return out(x).withColumn("feature", F.col("feature").cast("int"))
+
+
+@register("SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 2 DAY)) AS time", "")
+def extent_discretized(spark, sf_dir):
+    from .extent import TemporalExtent
+
+    return TemporalExtent("2024-01-01", "2024-01-31").discretize(spark, "2 days")
+
+
+@register("SELECT unnest([TIMESTAMP '2023-12-31 19:00:00', TIMESTAMP '2024-07-01 20:00:00']) AS time", "")
+def extent_in_another_zone(spark, sf_dir):
+    from .extent import TemporalExtent
+
+    return TemporalExtent("2024-01-01", "2024-07-02", tz="UTC").discretize(spark, tz="America/New_York")
+
+
+@register("SELECT time + INTERVAL 9 HOUR AS time, round(avg(value), 6) AS v FROM cube GROUP BY time")
+def time_in_another_zone(spark, sf_dir):
+    return out(verbs.tz_convert(one(spark, sf_dir, LEVEL.reduce("mean", "space")), "Asia/Tokyo"))
+
+
+@register("SELECT DISTINCT y, CAST(y AS DOUBLE) AS v FROM cube")
+def space_y(spark, sf_dir):
+    return out(one(spark, sf_dir, LEVEL.extract("space", "y")))
+
+
+@register("SELECT time AS moment, y AS line, x, round(value, 6) AS v FROM cube")
+def dimensions_renamed(spark, sf_dir):
+    return out(verbs.rename_dims(one(spark, sf_dir, LEVEL), {"time": "moment", "y": "line"}))
+
+
+@register("SELECT DISTINCT y, x, concat('POINT (', x, ' ', y, ')') AS geometry FROM grid")
+def points_of_the_grid(spark, sf_dir):
+    return verbs.grid_points(one(spark, sf_dir, LEVEL))
+
+
+@register("""SELECT y, x, v FROM (SELECT * FROM (SELECT CAST(unnest(generate_series(min(y), max(y))) AS INT) AS y FROM cube WHERE y % 3 = 0), (SELECT DISTINCT x FROM cube WHERE y % 3 = 0))
+LEFT JOIN (SELECT y, x, round(avg(value), 6) AS v FROM cube WHERE y % 3 = 0 GROUP BY y, x) USING (y, x)""")
+def space_regularized(spark, sf_dir):
+    from .model import array
+
+    means = one(spark, sf_dir, LEVEL.reduce("mean", "time")).df.where("y % 3 = 0")
+    return out(verbs.regularize(array(means, ("y", "x"), "v", resolution=(1.0, 1.0))), dense=True)
+
+
+@register("SELECT time, y, x, round(value, 6) AS v FROM cube")
+def csv_read_back(spark, sf_dir):
+    import uuid
+
+    from .plans.components import shared_folder
+    from .sources import export
+
+    path = f"{shared_folder(spark)}/cubelark/csv-{uuid.uuid4().hex}"
+    export.to_csv(one(spark, sf_dir, LEVEL), path, dense=False)
+    back = spark.read.csv(path, header=True, schema="time timestamp_ntz, y int, x int, v double")
+    return back.withColumn("v", rounded(F.col("v")))
+
+
+@register("SELECT time, y, x, round(value, 6) AS v, concat('POINT (', x, ' ', y, ')') AS geometry, 'EPSG:3035' AS crs FROM grid LEFT JOIN cube USING (time, y, x)")
+def points_of_the_cells(spark, sf_dir):
+    from .sources import export
+
+    frame = export.to_geodataframe(verbs.write_crs(one(spark, sf_dir, LEVEL), "EPSG:3035"))
+    return frame.withColumnRenamed(frame.columns[3], "v").withColumn("v", rounded(F.col("v")))
+
+
+@register("SELECT count(value) = 0 AS empty, count(value) FILTER (peak < 0) = 0 AS filtered_empty FROM cube")
+def emptiness(spark, sf_dir):
+    r = many(spark, sf_dir, whole=LEVEL, none=LEVEL.filter(PEAK.evaluate("less", 0)))
+    return spark.createDataFrame([(r["whole"].is_empty(), r["none"].is_empty())], "empty boolean, filtered_empty boolean")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each place had the concept "error"."""
     return QUERIES["concept_count_map"](spark, sf_dir)

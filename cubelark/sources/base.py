@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,10 +31,8 @@ class Extent:
     resolution: tuple[float, float] | None = None
     feature_labels: dict[int, str] | None = None
     spatial: SpatialExtent | None = None
-
-    @property
-    def key(self) -> tuple:
-        return id(self.space), self.bounds, str(self.time), self.tz
+    #: Tells extents apart for as long as a source lives, whatever becomes of their frames.
+    key: int = field(default_factory=itertools.count().__next__, init=False, compare=False)
 
 
 class CubeSource(ABC):
