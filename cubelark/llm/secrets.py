@@ -13,6 +13,7 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,9 +34,12 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 #: Fixed: candidates of the confirmed kinds.
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,]|-(?!----))*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,\\]|-(?!----))*)-----END \1-----")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+NEXT_LINE = re.compile(r"\r?\n([A-Za-z0-9+/_-]+)(={0,2})")
 LONG_HEX = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
+ENCRYPTED = re.compile(r"DEK-Info:\s*(AES|DES|CAMELLIA|BF|RC2)-[A-Z0-9-]+,\s*([0-9A-Fa-f]+)")
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 OPENSSH_MAGIC = b"openssh-key-v1\x00"
 
@@ -62,18 +66,35 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
     if "-----BEGIN" in text:
         spans += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if is_private_key(m[2])]
     framed = [(a, b) for _, a, b in spans]
-    for pattern, decode in ((BASE64, _base64), (LONG_HEX, _hex)):
-        for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in framed):
-                continue
-            raw = decode(m[0])
-            if raw is None:
-                continue
-            if is_key_structure(raw):
-                spans.append(("der", m.start(), m.end()))
-            elif is_wire_key(raw):
-                spans.append(("ssh", m.start(), m.end()))
-    return spans
+    found = [*_in_base64(text), *((_kind(bytes.fromhex(m[0])), m.start(), m.end()) for m in LONG_HEX.finditer(text))]
+    return spans + [s for s in found if s[0] and not any(a <= s[1] < b for a, b in framed)]
+
+
+def _kind(raw: bytes | None) -> str | None:
+    if raw is None:
+        return None
+    return "der" if is_key_structure(raw) else "ssh" if is_wire_key(raw) else None
+
+
+def _in_base64(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys in base64 of either alphabet: in one run, or wrapped over lines of one length and a shorter last one."""
+    at = 0
+    while run := RUN.search(text, at):
+        begin, ends = run.start(), [run.end()]
+        while text[ends[-1] - 1] != "=" and (line := NEXT_LINE.match(text, ends[-1])) and len(line[1]) <= len(run[0]):
+            ends.append(line.end())
+            if len(line[1]) < len(run[0]):
+                break
+        at = ends[-1]
+        # what follows on a line of its own may not belong to the key
+        for end in ends[:-3:-1]:
+            if kind := _kind(_base64("".join(text[begin:end].split()), url="-" in text[begin:end] or "_" in text[begin:end])):
+                yield kind, begin, end
+                break
+        else:
+            for m in BASE64.finditer(text, begin, at):
+                if kind := _kind(_base64(m[0])):
+                    yield kind, m.start(), m.end()
 
 
 def _base64(value: str, url: bool = False) -> bytes | None:
@@ -86,10 +107,6 @@ def _base64(value: str, url: bool = False) -> bytes | None:
         return None
 
 
-def _hex(value: str) -> bytes | None:
-    return bytes.fromhex(value)
-
-
 def is_token(header: str, payload: str, signature: str) -> bool:
     """A signed token: header and payload are JSON objects, the header names an algorithm."""
     try:
@@ -103,14 +120,17 @@ def is_token(header: str, payload: str, signature: str) -> bool:
 
 def is_private_key(body: str) -> bool:
     """The body of a key file: headers aside, base64 of DER, of an OpenSSH key, or encrypted bytes."""
-    lines = [x.strip() for x in body.strip().splitlines()]
+    lines = [x.strip() for x in body.replace("\\r", "").replace("\\n", "\n").strip().splitlines()]
     headers = [x for x in lines if ":" in x]
     raw = _base64("".join(x for x in lines if ":" not in x))
     if not raw:
         return False
     if any("ENCRYPTED" in x for x in headers):
-        return len(raw) % 8 == 0
-    return raw.startswith(OPENSSH_MAGIC) or is_key_structure(raw)
+        # nothing shows but the cipher's name, its initial vector of one block (two ciphers take half), and whole blocks
+        named = [m for x in headers if (m := ENCRYPTED.fullmatch(x))]
+        block = 16 if named and named[0][1] == "AES" else 8
+        return bool(named) and len(named[0][2]) == 2 * block and len(raw) % block == 0
+    return is_openssh_key(raw) or is_key_structure(raw)
 
 
 def der_items(raw: bytes, at: int = 0, end: int | None = None) -> list[tuple[int, bytes]] | None:
@@ -168,18 +188,45 @@ def _algorithm(content: bytes) -> bool:
     return bool(inner) and inner[0][0] == 0x06 and 3 <= len(inner[0][1]) <= 16
 
 
-def is_wire_key(raw: bytes) -> bool:
-    """Length-prefixed fields that fill the bytes, the first a key type; or the OpenSSH container."""
-    if raw.startswith(OPENSSH_MAGIC):
-        return True
-    at, fields = 0, []
-    while at < len(raw):
+def wire_fields(raw: bytes, at: int = 0, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from `at` on, all or `most` of them, and where they end; None where a length leads out."""
+    fields = []
+    while len(fields) < most if most is not None else at < len(raw):
         size = int.from_bytes(raw[at : at + 4], "big")
         if at + 4 > len(raw) or at + 4 + size > len(raw):
-            return False
+            return None
         fields.append(raw[at + 4 : at + 4 + size])
         at += 4 + size
-    return len(fields) >= 2 and fields[0] in SSH_TYPES
+    return fields, at
+
+
+def is_wire_key(raw: bytes) -> bool:
+    """Length-prefixed fields that fill the bytes, the first a key type; or the OpenSSH container."""
+    if raw.startswith(OPENSSH_MAGIC):
+        return is_openssh_key(raw)
+    read = wire_fields(raw)
+    return read is not None and len(read[0]) >= 2 and read[0][0] in SSH_TYPES
+
+
+def is_openssh_key(raw: bytes) -> bool:
+    """The OpenSSH container: cipher, derivation and its options, public keys, and a private part that fills the rest.
+
+    Unencrypted, the private part begins with one number twice and holds a key type; encrypted, it is whole blocks.
+    """
+    head = wire_fields(raw, len(OPENSSH_MAGIC), 3) if raw.startswith(OPENSSH_MAGIC) else None
+    if head is None:
+        return False
+    (cipher, _, _), at = head
+    keys = int.from_bytes(raw[at : at + 4], "big")
+    if not 1 <= keys <= 64 or (rest := wire_fields(raw, at + 4, keys + 1)) is None or rest[1] != len(raw):
+        return False
+    *public, private = rest[0]
+    if not all(map(is_wire_key, public)):
+        return False
+    if cipher != b"none":
+        return bool(cipher) and len(private) > 0 and len(private) % 8 == 0
+    inner = wire_fields(private, 8, 1)
+    return private[:4] == private[4:8] and inner is not None and inner[0][0] in SSH_TYPES
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

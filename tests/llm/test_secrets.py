@@ -58,5 +58,48 @@ def test_structures_are_confirmed():
     assert secrets.confirmed(f"ssh-ed25519 {wire}")[0][0] == "ssh"
 
 
+def field(b):
+    return len(b).to_bytes(4, "big") + b
+
+
+def openssh(cipher=b"none", check=b"\x01\x02\x03\x04", twice=None, tail=b""):
+    public = field(b"ssh-ed25519") + field(b"k" * 32)
+    private = check + (twice or check) + field(b"ssh-ed25519") + field(b"k" * 32) + field(b"s" * 64) + field(b"me") + b"\x01\x02\x03\x04\x05\x06"
+    options = b"" if cipher == b"none" else field(b"salt") + b"\x00\x00\x00\x10"
+    return secrets.OPENSSH_MAGIC + field(cipher) + field(b"none" if cipher == b"none" else b"bcrypt") + field(options) + (1).to_bytes(4, "big") + field(public) + field(private) + tail
+
+
+def test_containers_are_parsed():
+    assert secrets.is_openssh_key(openssh())
+    assert not secrets.is_openssh_key(openssh(twice=b"abcd")) and not secrets.is_openssh_key(openssh(tail=b"x")) and not secrets.is_openssh_key(openssh()[:-9])
+    assert not secrets.is_openssh_key(openssh(cipher=b"aes256-ctr")[:-2])
+    whole = openssh(cipher=b"aes256-ctr")
+    assert secrets.is_openssh_key(whole) == (len(whole) > 0 and (len(whole) - whole.rindex(b"\x01\x02\x03\x04" * 2)) % 8 == 0)
+    assert not secrets.is_openssh_key(secrets.OPENSSH_MAGIC + b"garbage" * 8) and not secrets.is_wire_key(secrets.OPENSSH_MAGIC + b"garbage" * 8)
+    frame = lambda body, kind="RSA ": f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+    assert secrets.confirmed(frame(base64.b64encode(openssh()).decode(), "OPENSSH "))[0][0] == "pem"
+    assert secrets.confirmed(frame(base64.b64encode(secrets.OPENSSH_MAGIC + b"garbage" * 8).decode(), "OPENSSH ")) == []
+    body = base64.b64encode(b"e" * 64).decode()
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n"
+    assert secrets.confirmed(frame(head.format("0A" * 16) + body))[0][0] == "pem"
+    assert [k for k, _, _ in secrets.confirmed(frame(head.format("0A" * 3) + body))] == []
+    assert secrets.confirmed(frame("Proc-Type: 4,ENCRYPTED\n\n" + body)) == []
+
+
+def test_escaped_and_wrapped_keys():
+    rsa = der(0x30, der(2, b"\x00") + der(2, b"\xfb\xef\xff" * 30) * 8)
+    text = base64.b64encode(rsa).decode()
+    escaped = "-----BEGIN PRIVATE KEY-----\\n" + "\\n".join(text[i : i + 64] for i in range(0, len(text), 64)) + "\\n-----END PRIVATE KEY-----\\n"
+    assert secrets.confirmed(f'"private_key": "{escaped}"') == [("pem", 16, 16 + len(escaped) - 2)]
+    for value in (text, base64.urlsafe_b64encode(rsa).decode()):
+        for end in ("\n", "\r\n"):
+            wrapped = end.join(value[i : i + 64] for i in range(0, len(value), 64))
+            for after in ("", "\nThanks", "\n\nThanks", " end"):
+                assert secrets.confirmed(f"key:\n{wrapped}{after}") == [("der", 5, 5 + len(wrapped))], (wrapped, after)
+        assert secrets.confirmed(f"key {value} end") == [("der", 4, 4 + len(value))]
+    assert secrets.confirmed(f"name-{text}") == [("der", 5, 5 + len(text))]
+    assert secrets.confirmed("\n".join(["A" * 64] * 20_000)) == []
+
+
 def test_empty_table(spark):
     assert secrets.digest(secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
