@@ -138,9 +138,9 @@ class Scanner:
         if window not in self.tables:
             return
         for values, templates, own in zip(*self.tables[window], joined, strict=True):
-            first, end = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-            for i in np.flatnonzero(end > first):
-                for t in templates[first[i] : end[i]]:
+            first = np.searchsorted(values, own)
+            for i in np.flatnonzero(values[np.minimum(first, len(values) - 1)] == own):
+                for t in templates[first[i] : np.searchsorted(values, own[i], "right")]:
                     yield int(i), int(t)
 
     def _verified(self, texts: list[str], candidates: set[tuple[int, int, int, int]]) -> list[tuple[int, str, int, int, float]]:
