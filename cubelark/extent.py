@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import MixedTimeZonesError
-from .functions import geometry
+from .functions import geometry, projection
 from .functions.values import parse_time
 
 
@@ -48,16 +48,22 @@ class SpatialExtent:
         """Least x, least y, greatest x, greatest y."""
         return self.geometry.bounds
 
+    def to_crs(self, crs: str | None) -> SpatialExtent:
+        """The same areas in another reference system."""
+        if projection.same(crs, self.crs):
+            return self
+        return SpatialExtent([(projection.project_geometry(g, self.crs, crs), p) for g, p in self.features], crs)
+
     def rasterize(self, spark: SparkSession, resolution: tuple[float, float], crs: str | None = None) -> DataFrame:
         """(y, x, feature) of all cells of the grid over the bounds; outside the features it is missing.
 
         `resolution` is (y, x), negative for an axis that falls.  Centres lie
         half a step inside the bounds, snapped to multiples of the step.  Of
         overlapping features the later one counts.  The cells are made and
-        tested on the executors.
+        tested on the executors.  With a `crs` the grid is in that system.
         """
-        if crs is not None and geometry.crs_name(crs) != self.crs:
-            raise NotImplementedError(f"can't reproject from {self.crs} to {crs}")
+        if not projection.same(crs, self.crs):
+            return self.to_crs(crs).rasterize(spark, resolution)
         dy, dx = (abs(float(v)) for v in resolution)
         x0, y0, x1, y1 = self.bounds
         first_y, first_x = math.floor(y0 / dy), math.floor(x0 / dx)

@@ -1,8 +1,4 @@
-"""Polygons on a plane: parsing, containment, rasterising.
-
-There is no projection library here, so all coordinates of a query must be in
-one reference system; others raise.
-"""
+"""Polygons on a plane: parsing, containment, rasterising."""
 
 from __future__ import annotations
 

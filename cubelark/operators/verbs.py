@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import replace
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import types
 from ..errors import InvalidValueTypeError, MissingDimensionError, MixedDimensionsError, UnknownComponentError, UnknownDimensionError, UnknownOperatorError, UnknownReducerError
-from ..functions import components, geometry, scalar
+from ..functions import components, geometry, projection, scalar
 from ..functions.reducers import REDUCERS, Reducer, time_range
 from ..functions.values import Interval, TimeBounds
 from ..model import GROUP, SPACE, TIME, VALUE, Axis, CubeArray, CubeCollection, X, Y, fresh, possible_types
@@ -300,11 +301,45 @@ def rename_dims(x: CubeArray, mapping: Mapping[str, str]) -> CubeArray:
     return x.with_frame(frame, dims, axes=axes, dense=x.dense)
 
 
-def reproject(x: CubeArray, crs: str) -> CubeArray:
-    """Only to the reference system that the array has; warping needs a projection library."""
-    if x.crs is not None and geometry.crs_name(crs) != geometry.crs_name(x.crs):
-        raise NotImplementedError(f"can't reproject from {x.crs} to {crs}")
-    return replace(x, crs=crs)
+def reproject(x: CubeArray, crs: str, resolution: tuple[float, float] | None = None) -> CubeArray:
+    """The array on a grid of another reference system; each new cell has the value of the cell its centre lies in.
+
+    The grid covers the transformed outline of the old one.  Without a (y, x)
+    `resolution` its cells are squares, as many along the diagonal as before.
+    The old grid must be regular; an array without y and x, or without a
+    reference system, stays as it is but for the system's name.  Runs a small job for the grid's size.
+    """
+    if projection.same(x.crs, crs) or not {Y, X} <= set(x.dims):
+        return replace(x, crs=crs)
+    x = write_spatial_resolution(x if x.absent is None else x.densify())
+    step = {d: abs(float(v)) or 1.0 for d, v in zip((Y, X), x.resolution, strict=True)}
+    least, count = {}, {}
+    for d in (Y, X):
+        low, high = x.axis(d).frame.agg(F.min(d), F.max(d)).first()
+        if low is None:
+            return replace(x, crs=crs)
+        least[d], count[d] = float(low), round((float(high) - float(low)) / step[d]) + 1
+    edge = {d: (least[d] - step[d] / 2, least[d] + (count[d] - 0.5) * step[d]) for d in (Y, X)}
+    x0, y0, x1, y1 = projection.project_bounds((edge[X][0], edge[Y][0], edge[X][1], edge[Y][1]), x.crs, crs)
+    if resolution is None:
+        (ax, bx), (ay, by) = projection.project_points(edge[X], edge[Y][::-1], x.crs, crs)
+        size = math.hypot(bx - ax, by - ay) / math.hypot(count[X], count[Y])
+        resolution = (-size, size)
+    dy, dx = (abs(float(v)) for v in resolution)
+    rows, columns = max(1, round((y1 - y0) / dy)), max(1, round((x1 - x0) / dx))
+    spark = x.base.sparkSession
+    new_y, new_x = (F.lit(y1) - (F.col("id") + 0.5) * dy).alias(Y), (F.lit(x0) + (F.col("id") + 0.5) * dx).alias(X)
+    ys, xs = spark.range(rows).select(new_y), spark.range(columns).select(new_x)
+    place = F.floor(F.col("id") / columns)
+    cells = spark.range(rows * columns).select((F.lit(y1) - (place + 0.5) * dy).alias(Y), (F.lit(x0) + (F.col("id") % columns + 0.5) * dx).alias(X))
+    here = projection.project(cells, crs, x.crs, X, Y, ("__sx", "__sy"))
+    index = lambda c, d: F.floor((c - edge[d][0]) / step[d])
+    here = here.select(Y, X, index(F.col("__sy"), Y).alias("__iy"), index(F.col("__sx"), X).alias("__ix"))
+    here = here.where(F.col("__iy").between(0, count[Y] - 1) & F.col("__ix").between(0, count[X] - 1))
+    old = x.cells().withColumns({"__iy": index(F.col(Y), Y), "__ix": index(F.col(X), X)}).drop(Y, X)
+    joined = old.join(here, ["__iy", "__ix"]).drop("__iy", "__ix")
+    axes = dict(x.axes) | {Y: Axis(Y, ys, resolution[0] < 0), X: Axis(X, xs, resolution[1] < 0)}
+    return x.with_frame(joined, axes=axes, crs=crs, resolution=tuple(resolution), features=None, dense=False)
 
 
 def write_crs(x: CubeArray, crs: str) -> CubeArray:

@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 from ..errors import InvalidBuildingBlockError, RecursiveResultError, UnknownLabelError, UnknownOperatorError, UnknownReducerError, UnknownResultError, UnknownVerbError
 from ..extent import SpatialExtent, TemporalExtent
-from ..functions import geometry, scalar
+from ..functions import geometry, projection, scalar
 from ..functions.reducers import REDUCERS
 from ..functions.values import Interval, TimeBounds, parse_time
 from ..model import CubeArray, CubeCollection
@@ -41,6 +41,7 @@ def parse_extent(spark: SparkSession, space: SpatialExtent | None, time: Tempora
     tz = tz or (time.tz if time is not None else "UTC")
     if space is None:
         return Extent(spark, time=time, tz=tz, crs=crs, resolution=spatial_resolution)
+    space = space.to_crs(crs)
     x0, y0, x1, y1 = space.bounds
     if preview:
         sign = spatial_resolution or (-1, 1)
@@ -207,9 +208,7 @@ class QueryProcessor:
 
     def _geometry(self, block: dict) -> geometry.Geometry:
         found = geometry.union(g for g, _ in geometry.features(block["content"]))
-        if found.crs and self.extent.crs and geometry.crs_name(found.crs) != geometry.crs_name(self.extent.crs):
-            raise NotImplementedError(f"can't reproject from {found.crs} to {self.extent.crs}")
-        return found
+        return found if projection.same(found.crs, self.extent.crs) else projection.project_geometry(found, found.crs, self.extent.crs)
 
     def _time_instant(self, block: dict) -> TimeBounds:
         content = block["content"]
