@@ -197,13 +197,22 @@ def spline(at: np.ndarray, value: np.ndarray, where: np.ndarray) -> np.ndarray:
     if n < 4:
         return np.polyval(np.polyfit(at - at[0], value, n - 1), where - at[0]) if n > 1 else np.full(len(where), value[0] if n else np.nan)
     h, slope = np.diff(at), np.diff(value) / np.diff(at)
-    matrix, right = np.zeros((n, n)), np.zeros(n)  # for the second derivatives
-    for i in range(1, n - 1):
-        matrix[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        right[i] = 6 * (slope[i] - slope[i - 1])
-    matrix[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    matrix[-1, -3:] = h[-1], -(h[-1] + h[-2]), h[-2]
-    m = np.linalg.solve(matrix, right)
+    # second derivatives m: three bands, from which the end conditions take the outermost unknowns
+    lower, middle, upper, right = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope)
+    middle[0] += h[0] * (h[0] + h[1]) / h[1]
+    upper[0] -= h[0] ** 2 / h[1]
+    middle[-1] += h[-1] * (h[-1] + h[-2]) / h[-2]
+    lower[-1] -= h[-1] ** 2 / h[-2]
+    for j in range(1, n - 2):
+        factor = lower[j] / middle[j - 1]
+        middle[j] -= factor * upper[j - 1]
+        right[j] -= factor * right[j - 1]
+    m = np.zeros(n)
+    m[n - 2] = right[-1] / middle[-1]
+    for j in range(n - 4, -1, -1):
+        m[j + 1] = (right[j] - upper[j] * m[j + 2]) / middle[j]
+    m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1]
+    m[-1] = ((h[-1] + h[-2]) * m[-2] - h[-1] * m[-3]) / h[-2]
     i = np.clip(np.searchsorted(at, where) - 1, 0, n - 2)
     d = where - at[i]
     return value[i] + d * (slope[i] - h[i] * (2 * m[i] + m[i + 1]) / 6) + d**2 * m[i] / 2 + d**3 * (m[i + 1] - m[i]) / (6 * h[i])
@@ -241,6 +250,29 @@ def _fill_cubic(x: CubeArray, frame: DataFrame, dimension: str, extrapolate: boo
     return _slices(x, frame, [d for d in x.dims if d != dimension], work).drop("__at")
 
 
+def nearest_valid(ys: np.ndarray, xs: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the nearest valid cell for each cell of a grid; of equally near ones the first by row, then column.
+
+    First the nearest one of each column, then the best of all columns, row by row.
+    """
+    rows, columns = valid.shape
+    at = np.arange(rows)[:, None]
+    above = np.maximum.accumulate(np.where(valid, at, -1), axis=0)
+    below = np.minimum.accumulate(np.where(valid, at, rows)[::-1], axis=0)[::-1]
+    far = lambda i: np.where((i >= 0) & (i < rows), np.abs(ys[np.clip(i, 0, rows - 1)] - ys[:, None]), np.inf)
+    up, down = far(above), far(below)
+    first = (up < down) | ((up == down) & (ys[np.clip(above, 0, rows - 1)] <= ys[np.clip(below, 0, rows - 1)]))
+    own = np.where(first, above, below)
+    gap = np.where(first, up, down) ** 2
+    across = (xs[:, None] - xs[None, :]) ** 2
+    found = np.empty((rows, columns), dtype=int)
+    for r in range(rows):
+        total = gap[r] + across
+        order = np.lexsort((xs, ys[np.clip(own[r], 0, rows - 1)]))
+        found[r] = order[total[:, order].argmin(axis=1)]
+    return np.take_along_axis(own, found, axis=1), found
+
+
 def _fill_plane(x: CubeArray, frame: DataFrame) -> DataFrame:
     """Nearest valid cell of the plane; of equally near ones the first by row, then column."""
 
@@ -248,12 +280,11 @@ def _fill_plane(x: CubeArray, frame: DataFrame) -> DataFrame:
         rows = rows.copy()
         valid = rows[VALUE].notna().to_numpy()
         if valid.any() and not valid.all():
-            points, order = rows[[Y, X]].to_numpy(dtype=float), np.lexsort((rows[X].to_numpy()[valid], rows[Y].to_numpy()[valid]))
-            known, value = points[valid][order], rows[VALUE].to_numpy()[valid][order]
-            out = rows[VALUE].to_numpy(copy=True)
-            for i in np.flatnonzero(~valid):
-                out[i] = value[((known - points[i]) ** 2).sum(axis=1).argmin()]
-            rows[VALUE] = out
+            (ys, i), (xs, j) = (np.unique(rows[d].to_numpy(dtype=float), return_inverse=True) for d in (Y, X))
+            grid, place = np.zeros((len(ys), len(xs)), dtype=bool), np.zeros((len(ys), len(xs)), dtype=int)
+            grid[i, j], place[i, j] = valid, np.arange(len(rows))
+            near = nearest_valid(ys, xs, grid)
+            rows[VALUE] = rows[VALUE].to_numpy()[place[near][i, j]]
         return rows
 
     return _slices(x, frame, [d for d in x.dims if d not in (Y, X)], work)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import TooManyDimensionsError
 from ..functions.geometry import crs_name
+from ..functions.projection import project
 from ..model import VALUE, CubeArray, X, Y
 
 
@@ -31,11 +32,11 @@ def to_dataframe(x: CubeArray, dense: bool = True) -> DataFrame:
 
 
 def to_geodataframe(x: CubeArray, output_crs: str | None = None, dense: bool = True) -> DataFrame:
-    """The same with each cell's point as well-known text, and its reference system."""
-    if output_crs is not None and x.crs is not None and crs_name(output_crs) != crs_name(x.crs):
-        raise NotImplementedError(f"can't reproject from {x.crs} to {output_crs}")
-    point = F.format_string("POINT (%s %s)", F.col(X).cast("string"), F.col(Y).cast("string"))
-    return to_dataframe(x, dense).withColumn("geometry", point).withColumn("crs", F.lit(crs_name(x.crs) if x.crs else None).cast("string"))
+    """The same with each cell's point as well-known text, in `output_crs` if there is one, and its reference system."""
+    crs = output_crs if output_crs is not None and x.crs is not None else x.crs
+    point = F.format_string("POINT (%s %s)", F.col("__px").cast("string"), F.col("__py").cast("string"))
+    frame = project(to_dataframe(x, dense), x.crs, crs, X, Y, ("__px", "__py")).withColumn("geometry", point)
+    return frame.drop("__px", "__py").withColumn("crs", F.lit(crs_name(crs) if crs else None).cast("string"))
 
 
 def to_csv(x: CubeArray, path: str, dense: bool = True) -> None:
@@ -68,14 +69,23 @@ def to_numpy(x: CubeArray) -> tuple[np.ndarray, dict[str, list]]:
     return grid, coords
 
 
-def to_geotiff(x: CubeArray, path: str, compress: bool = True) -> None:
-    """A GeoTIFF with one band per coordinate of a third dimension.  Infinite values are missing, times Unix seconds."""
+def to_geotiff(x: CubeArray, path: str, compress: bool | str = True, output_crs: str | None = None, dtype: str = "float64") -> None:
+    """A GeoTIFF with one band per coordinate of a third dimension.
+
+    Infinite values are missing, times Unix seconds.  `compress` is "deflate"
+    (or True), "lzw" or False; `output_crs` warps to another reference system;
+    cells missing in an integer `dtype` hold the value declared as nodata.
+    """
+    from ..operators.verbs import reproject
     from .geotiff import write_geotiff
 
+    if output_crs is not None and x.crs is not None:
+        x = reproject(x, output_crs)
+
     if not {Y, X} <= set(x.dims) or len(x.dims) > 3:
         raise TooManyDimensionsError(f"a GeoTIFF has y, x and at most one more dimension, not {x.dims}")
     grid, coords = to_numpy(x)
     third = [d for d in x.dims if d not in (Y, X)]
     grid = np.transpose(grid.astype(float), [x.dims.index(d) for d in (*third, Y, X)])
     grid = np.where(np.isinf(grid), np.nan, grid)
-    write_geotiff(path, grid if third else grid[None], coords[Y], coords[X], crs=x.crs, compress=compress)
+    write_geotiff(path, grid if third else grid[None], coords[Y], coords[X], crs=x.crs, compress=compress, dtype=dtype)

@@ -1,8 +1,9 @@
 """GeoTIFF files and archives of them, without a raster library.
 
-Reads what most tools write: strips or tiles, uncompressed or deflated, with or
-without a predictor, of integers or floats; writes deflated strips.  Archives
-are read file by file on the executors and kept as long-form tables.
+Reads what most tools write: classic or big files, strips or tiles, plain or
+compressed by deflate, LZW or PackBits, with or without a predictor, of integers
+or floats; writes strips.  Archives are read file by file on the executors and
+kept as long-form tables.
 """
 
 from __future__ import annotations
@@ -26,31 +27,31 @@ from .table import TableCube
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 322, 323, 324, 325, 339
 SCALE, TIE, TRANSFORM, KEYS, NODATA = 33550, 33922, 34264, 34735, 42113
-FIELD = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+FIELD = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
+#: Fixed: numbers of the compressions, and the codes of LZW that stand for no bytes.
+PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+CLEAR, END = 256, 257
 GEOGRAPHIC_KEY, PROJECTED_KEY = 2048, 3072
 
 
 def read_geotiff(data: bytes) -> dict:
     """bands (band, row, column), y and x of the cell centres, nodata, crs."""
     order = {b"II": "<", b"MM": ">"}[data[:2]]
-    magic = struct.unpack(order + "H", data[2:4])[0]
-    if magic != 42:
-        raise ValueError("not a classic TIFF file")
     tags = _tags(data, order)
     one = lambda tag, default=None: tags.get(tag, (default,))[0]
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     kind = {1: "u", 2: "i", 3: "f"}[one(FORMAT, 1)]
     dtype = np.dtype(f"{order}{kind}{one(BITS, 8) // 8}")
     compression, predictor, chunky = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1) == 1
-    if compression not in (1, 8, 32946):
+    unpack = {PLAIN: bytes, LZW: unlzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: _unpackbits}.get(compression)
+    if unpack is None:
         raise NotImplementedError(f"TIFF compression {compression}")
     tiled = TILE_OFFSETS in tags
     block_h, block_w = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS, height), height), width)
     across, down = -(-width // block_w), -(-height // block_h)
     out = np.zeros((samples, height, width), dtype=dtype.newbyteorder("="))
     for n, (start, size) in enumerate(zip(tags[TILE_OFFSETS if tiled else OFFSETS], tags[TILE_COUNTS if tiled else COUNTS], strict=True)):
-        raw = data[start : start + size]
-        raw = raw if compression == 1 else zlib.decompress(raw)
+        raw = unpack(data[start : start + size])
         band, place = (0, n) if chunky else divmod(n, across * down)
         r, c = divmod(place, across)
         rows = block_h if tiled else min(block_h, height - r * block_h)
@@ -80,21 +81,104 @@ def read_geotiff(data: bytes) -> dict:
 
 
 def _tags(data: bytes, order: str) -> dict[int, tuple]:
-    at = struct.unpack(order + "I", data[4:8])[0]
-    count = struct.unpack(order + "H", data[at : at + 2])[0]
+    magic = struct.unpack(order + "H", data[2:4])[0]
+    if magic not in (42, 43):
+        raise ValueError("not a TIFF file")
+    # where the first directory's place stands, forms of a place and of the number of entries
+    head, place, number = (4, "I", "H") if magic == 42 else (8, "Q", "Q")
+    wide = struct.calcsize("<" + place)
+    at = struct.unpack_from(order + place, data, head)[0]
+    count = struct.unpack_from(order + number, data, at)[0]
+    at += struct.calcsize("<" + number)
     tags = {}
-    for i in range(count):
-        entry = data[at + 2 + 12 * i : at + 14 + 12 * i]
-        tag, kind, n = struct.unpack(order + "HHI", entry[:8])
+    for entry in range(at, at + count * (4 + 2 * wide), 4 + 2 * wide):
+        tag, kind, n = struct.unpack_from(order + "HH" + place, data, entry)
         if kind not in FIELD:
             continue
         form = order + FIELD[kind] * n
-        size = struct.calcsize(form)
-        place = entry[8:] if size <= 4 else data[(o := struct.unpack(order + "I", entry[8:])[0]) : o + size]
-        tags[tag] = struct.unpack(form, place[:size])
+        here = entry + 4 + wide
+        tags[tag] = struct.unpack_from(form, data, here if struct.calcsize(form) <= wide else struct.unpack_from(order + place, data, here)[0])
     return tags
 
 
+def unlzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes from the high bits on, one code early wider."""
+    base = [bytes([i]) for i in range(256)] + [b"", b""]
+    out, table, previous = bytearray(), list(base), None
+    held = bits = 0
+    width = 9
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & (1 << bits) - 1
+        if code == END:
+            break
+        if code == CLEAR:
+            table, previous, width = list(base), None, 9
+            continue
+        if previous is not None:
+            table.append(previous + (table[code] if code < len(table) else previous)[:1])
+            if len(table) >= (1 << width) - 1 and width < 12:
+                width += 1
+        previous = table[code]
+        out += previous
+    return bytes(out)
+
+
+def lzw(data: bytes) -> bytes:
+    """The same, packed."""
+    out, table, found = bytearray(), {}, b""
+    held = bits = 0
+    width, following = 9, 258
+
+    def put(code: int) -> None:
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits)
+            held &= (1 << bits) - 1
+
+    code_of = lambda part: part[0] if len(part) == 1 else table[part]
+    put(CLEAR)
+    for i in range(len(data)):
+        longer = found + data[i : i + 1]
+        if len(longer) == 1 or longer in table:
+            found = longer
+            continue
+        put(code_of(found))
+        table[longer], found, following = following, data[i : i + 1], following + 1
+        if following >= 1 << width and width < 12:
+            width += 1
+        if following == 4094:
+            put(CLEAR)
+            table, width, following = {}, 9, 258
+    if found:
+        put(code_of(found))
+        width += following + 1 >= 1 << width and width < 12
+    put(END)
+    if bits:
+        out.append(held << 8 - bits & 255)
+    return bytes(out)
+
+
+def _unpackbits(data: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        elif n > 128:
+            out += data[at + 1 : at + 2] * (257 - n)
+            at += 2
+        else:
+            at += 1
+    return bytes(out)
+
+
 def _unpredicted(raw: bytes, dtype: np.dtype, predictor: int, rows: int, width: int, depth: int) -> np.ndarray:
     if predictor == 3:  # bytes of the floats of a row, most significant first, as differences
         planes = np.frombuffer(raw, dtype=np.uint8).reshape(rows, -1)
@@ -105,23 +189,29 @@ def _unpredicted(raw: bytes, dtype: np.dtype, predictor: int, rows: int, width:
     return np.cumsum(block, axis=1, dtype=block.dtype) if predictor == 2 else block
 
 
-def write_geotiff(path: str, bands: np.ndarray, ys: list[float], xs: list[float], crs: str | None = None, nodata: float = float("nan"), compress: bool = True) -> None:
-    """Writes (band, row, column) as 64-bit floats, one strip a band, tied to the cells' outer corner."""
+def write_geotiff(path: str, bands: np.ndarray, ys: list[float], xs: list[float], crs: str | None = None, compress: bool | str = True, dtype: str = "float64") -> None:
+    """Writes (band, row, column), one strip a band, tied to the cells' outer corner.
+
+    Missing cells are NaN in a file of floats, else the least value of a signed type and the greatest of an unsigned one.
+    """
+    pack = {False: bytes, True: zlib.compress, "deflate": zlib.compress, "lzw": lzw}[compress if isinstance(compress, bool) else compress.lower()]
+    code_of_pack = {bytes: PLAIN, zlib.compress: DEFLATE, lzw: LZW}[pack]
+    kind = np.dtype(dtype).newbyteorder("<")
+    nodata = float("nan") if kind.kind == "f" else np.iinfo(kind).max if kind.kind == "u" else np.iinfo(kind).min
     n, height, width = bands.shape
     dx = float(xs[1] - xs[0]) if width > 1 else 1.0
     dy = float(ys[1] - ys[0]) if height > 1 else -1.0
     if dy > 0:
         bands, ys, dy = bands[:, ::-1], ys[::-1], -dy
-    strips = [band.astype("<f8").tobytes() for band in bands]
-    strips = [zlib.compress(s) for s in strips] if compress else strips
+    strips = [pack(np.where(np.isnan(band), nodata, band).astype(kind).tobytes()) for band in bands]
     body, offsets = bytearray(), []
     for s in strips:
         offsets.append(8 + len(body))
         body += s + b"\0" * (len(s) % 2)
     code = int(str(crs).rpartition(":")[2]) if crs and str(crs).rpartition(":")[2].isdigit() else None
     fields: list[tuple[int, int, tuple]] = [
-        (WIDTH, 4, (width,)), (HEIGHT, 4, (height,)), (BITS, 3, (64,) * n), (COMPRESSION, 3, (8 if compress else 1,)), (262, 3, (1,)),
-        (OFFSETS, 4, tuple(offsets)), (SAMPLES, 3, (n,)), (ROWS, 4, (height,)), (COUNTS, 4, tuple(map(len, strips))), (PLANAR, 3, (2,)), (FORMAT, 3, (3,) * n),
+        (WIDTH, 4, (width,)), (HEIGHT, 4, (height,)), (BITS, 3, (8 * kind.itemsize,) * n), (COMPRESSION, 3, (code_of_pack,)), (262, 3, (1,)),
+        (OFFSETS, 4, tuple(offsets)), (SAMPLES, 3, (n,)), (ROWS, 4, (height,)), (COUNTS, 4, tuple(map(len, strips))), (PLANAR, 3, (2,)), (FORMAT, 3, ({"u": 1, "i": 2, "f": 3}[kind.kind],) * n),
         (SCALE, 12, (abs(dx), abs(dy), 0.0)), (TIE, 12, (0.0, 0.0, 0.0, float(xs[0]) - dx / 2, float(ys[0]) - dy / 2, 0.0)),
     ]
     if code:
@@ -132,12 +222,12 @@ def write_geotiff(path: str, bands: np.ndarray, ys: list[float], xs: list[float]
     fields.sort()
     at = 8 + len(body)
     extra_at, extra, entries = at + 2 + 12 * len(fields) + 4, bytearray(), bytearray()
-    for tag, kind, values in fields:
-        packed = struct.pack("<" + FIELD[kind] * len(values), *values)
+    for tag, form, values in fields:
+        packed = struct.pack("<" + FIELD[form] * len(values), *values)
         if len(packed) <= 4:
-            entries += struct.pack("<HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
+            entries += struct.pack("<HHI", tag, form, len(values)) + packed.ljust(4, b"\0")
         else:
-            entries += struct.pack("<HHII", tag, kind, len(values), extra_at + len(extra))
+            entries += struct.pack("<HHII", tag, form, len(values), extra_at + len(extra))
             extra += packed + b"\0" * (len(packed) % 2)
     with open(path, "wb") as file:
         file.write(b"II*\0" + struct.pack("<I", at) + body + struct.pack("<H", len(fields)) + entries + struct.pack("<I", 0) + extra)
@@ -191,7 +281,7 @@ class GeotiffArchive(TableCube):
         return found.mapInPandas(unpack, SCHEMA)
 
     def _native(self, spark: SparkSession, name: str) -> tuple[float, float, float, float]:
-        """The file's own grid, read from it by a small job."""
+        """The file's own grid, read from it with its reference system by a small job."""
         if self.native is None:
 
             def steps(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,10 +290,10 @@ class GeotiffArchive(TableCube):
                         with zipfile.ZipFile(io.BytesIO(content)) as archive:
                             tiff = read_geotiff(archive.read(name))
                         step = lambda v, one: float(v[1] - v[0]) if len(v) > 1 else one
-                        yield pd.DataFrame([(tiff["y"][0], step(tiff["y"], -1.0), tiff["x"][0], step(tiff["x"], 1.0))], columns=["y0", "dy", "x0", "dx"])
+                        yield pd.DataFrame([(tiff["y"][0], step(tiff["y"], -1.0), tiff["x"][0], step(tiff["x"], 1.0), tiff["crs"])], columns=["y0", "dy", "x0", "dx", "crs"])
 
-            found = spark.read.format("binaryFile").load(self.src).select("content").mapInPandas(steps, "y0 double, dy double, x0 double, dx double").first()
-            self.native = tuple(found)
+            found = spark.read.format("binaryFile").load(self.src).select("content").mapInPandas(steps, "y0 double, dy double, x0 double, dx double, crs string").first()
+            self.native, self.crs = tuple(found[:4]), self.crs or found[4]
         return self.native
 
     def _times(self, file: str) -> list:

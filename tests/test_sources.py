@@ -1,4 +1,5 @@
 import datetime as dt
+import struct
 import zipfile
 
 import numpy as np
@@ -10,7 +11,7 @@ from cubelark.plans import blocks as q
 from cubelark.plans.mapping import Ontology
 from cubelark.plans.processor import QueryProcessor
 from cubelark.sources import export
-from cubelark.sources.geotiff import GeotiffArchive, read_geotiff, write_geotiff
+from cubelark.sources.geotiff import GeotiffArchive, lzw, read_geotiff, unlzw, write_geotiff
 from cubelark.sources.stac import ItemCube
 from cubelark.streaming.ingest import ingest, layer_table
 
@@ -25,6 +26,36 @@ def test_geotiff_round_trip(tmp_path):
         assert back["y"].tolist() == [20, 10, 0] and back["x"].tolist() == [5, 15, 25, 35] and back["crs"] == "EPSG:3035"
 
 
+def test_geotiff_forms(tmp_path):
+    # codes 256 7 258 8 8 258 6 6 257 in nine bits each
+    packed = int("".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257)).ljust(88, "0"), 2).to_bytes(11, "big")
+    assert unlzw(packed) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) and lzw(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == packed
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 254, 255, 256, 765, 3836, 3837, 3838, 3839, 50_000):
+        for high in (2, 256):
+            data = rng.integers(0, high, n, dtype=np.uint8).tobytes()
+            assert unlzw(lzw(data)) == data
+    bands = rng.integers(0, 200, (2, 30, 40)).astype(float)
+    bands[1, 2, 3] = np.nan
+    for compress in ("lzw", "deflate", False):
+        for dtype, missing in (("uint8", 255), ("int16", -32768), ("float32", None)):
+            write_geotiff(str(tmp_path / "a.tif"), bands, list(range(30, 0, -1)), list(range(40)), compress=compress, dtype=dtype)
+            back = read_geotiff((tmp_path / "a.tif").read_bytes())
+            expected = bands if missing is None else np.where(np.isnan(bands), missing, bands)
+            assert back["bands"].dtype == dtype and np.array_equal(back["bands"], expected, equal_nan=True)
+            assert missing is None or back["nodata"] == missing
+
+
+def test_big_geotiff():
+    values = np.arange(6, dtype="<u2").tobytes()
+    strip = bytes([3, *values[:4], 1, *values[4:6], 128, 5, *values[6:12]])  # literal runs and one code without a meaning
+    entries = [(256, 3, (3,)), (257, 3, (2,)), (258, 3, (16,)), (259, 3, (32773,)), (273, 16, (16,)), (277, 3, (1,)), (278, 3, (2,)), (279, 16, (len(strip),))]
+    forms = {3: "H", 16: "Q"}
+    directory = struct.pack("<Q", len(entries)) + b"".join(struct.pack("<HHQ", t, k, len(v)) + struct.pack("<" + forms[k] * len(v), *v).ljust(8, b"\0") for t, k, v in entries) + struct.pack("<Q", 0)
+    file = b"II+\0" + struct.pack("<HHQ", 8, 0, 16 + len(strip)) + strip + directory
+    assert read_geotiff(file)["bands"].tolist() == [[[0, 1, 2], [3, 4, 5]]]
+
+
 def test_archive(spark, tmp_path):
     bands = np.arange(24, dtype=float).reshape(2, 3, 4)
     write_geotiff(str(tmp_path / "b.tif"), bands, [20.0, 10.0, 0.0], [5.0, 15.0, 25.0, 35.0])
@@ -41,6 +72,17 @@ def test_archive(spark, tmp_path):
         GeotiffArchive(layout, "layers.tar")
 
 
+def _cubic(t):
+    return 1.5 * t**3 - 2.5 * t**2 + 1 if t <= 1 else -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2 if t < 2 else 0.0
+
+
+def _spline(t):
+    return sum((-1) ** k * n * max(0.0, 2 - t - k) ** 3 for k, n in enumerate((1, 4, 6, 4, 1))) / 6
+
+
+KERNEL = {"bilinear": (lambda t: max(0.0, 1 - t), 1), "cubic": (_cubic, 2), "cubic_spline": (_spline, 2), "lanczos": (lambda t: float(np.sinc(t) * np.sinc(t / 3)) if t < 3 else 0.0, 3)}
+
+
 def test_resampling(spark, tmp_path):
     bands = np.arange(16, dtype=float).reshape(1, 4, 4)
     write_geotiff(str(tmp_path / "b.tif"), bands, [3.5, 2.5, 1.5, 0.5], [0.5, 1.5, 2.5, 3.5])
@@ -57,8 +99,19 @@ def test_resampling(spark, tmp_path):
     assert run("nearest", 1) == {(3.5 - i, 0.5 + j): bands[0, i, j] for i in range(4) for j in range(4)}
     assert run("average", 2) == {(3.0, 1.0): 2.5, (3.0, 3.0): 4.5, (1.0, 1.0): 10.5, (1.0, 3.0): 12.5}
     assert run("max", 2)[(1.0, 3.0)] == 15
+    # halfway between four cells, and on a cell of its own size
+    assert run("bilinear", 1) == run("nearest", 1) and run("cubic", 1) == run("nearest", 1)
+    for method in ("bilinear", "cubic", "cubic_spline", "lanczos"):
+        half = run(method, 0.5)
+        kernel, reach = KERNEL[method]
+        for (y, x), v in half.items():
+            u, w = (y - 3.5) / -1, (x - 0.5) / 1
+            near = [(kernel(abs(i - u)) * kernel(abs(j - w)), bands[0, i, j]) for i in range(4) for j in range(4) if abs(i - u) <= reach and abs(j - w) <= reach]
+            assert v == pytest.approx(sum(k * b for k, b in near) / sum(k for k, _ in near)), (method, y, x)
+        assert len(half) == 64
+    assert run("bilinear", 2)[(3.0, 1.0)] == pytest.approx(np.average(bands[0, :3, :3], weights=np.outer([0.75, 0.75, 0.25], [0.75, 0.75, 0.25])))
     with pytest.raises(NotImplementedError):
-        run("lanczos", 2)
+        run("gauss", 2)
     with pytest.raises(ValueError):
         GeotiffArchive(layout, "a.zip", resamplers={"continuous": "nothing"})
 
