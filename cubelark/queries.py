@@ -791,6 +791,29 @@ def emptiness(spark, sf_dir):
     return spark.createDataFrame([(r["whole"].is_empty(), r["none"].is_empty())], "empty boolean, filtered_empty boolean")
 
 
+@register("""SELECT t.time, CAST(t.y AS DOUBLE) AS y, CAST(t.x AS DOUBLE) AS x, round(sum(s.value * (1 - abs(s.y - t.y) / 2.0) * (1 - abs(s.x - t.x) / 2.0)) / sum((1 - abs(s.y - t.y) / 2.0) * (1 - abs(s.x - t.x) / 2.0)), 6) AS v
+FROM (SELECT time, y, x FROM cube WHERE y % 2 = 1 AND x % 2 = 1) AS t JOIN cube AS s ON s.time = t.time AND abs(s.y - t.y) <= 1 AND abs(s.x - t.x) <= 1 GROUP BY t.time, t.y, t.x""")
+def resampled_bilinear(spark, sf_dir):
+    """Cells of twice the size, whose centres lie on every second cell."""
+    from .extent import SpatialExtent
+    from .plans.mapping import Ontology
+    from .plans.processor import QueryProcessor
+    from .sources.table import TableCube
+
+    cube = TableCube(fixtures.LAYOUT, {"events": lambda s, e: fixtures.events_cube(s, sf_dir, e)}, resamplers={"continuous": "bilinear"}, native=(0.0, 1.0, 0.0, 1.0))
+    space = SpatialExtent({"type": "Polygon", "coordinates": [[[0, 0], [8, 0], [8, 8], [0, 8], [0, 0]]]}, "EPSG:3035")
+    return out(QueryProcessor.parse({"r": LEVEL}, cube, Ontology(), space, spark=spark, spatial_resolution=(2, 2)).execute()["r"])
+
+
+@register("SELECT DISTINCT y, x, round(degrees(x * 100000 / 6378137.0), 9) AS lon, round(degrees(atan((exp(y * 100000 / 6378137.0) - exp(-y * 100000 / 6378137.0)) / 2)), 9) AS lat FROM grid")
+def points_in_degrees(spark, sf_dir):
+    from .functions.projection import project
+
+    points = verbs.grid_points(one(spark, sf_dir, LEVEL)).select("y", "x", (F.col("y") * 100000).alias("north"), (F.col("x") * 100000).alias("east"))
+    moved = project(points, "EPSG:3857", "EPSG:4326", "east", "north", ("lon", "lat"))
+    return moved.select("y", "x", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each place had the concept "error"."""
     return QUERIES["concept_count_map"](spark, sf_dir)
