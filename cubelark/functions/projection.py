@@ -4,9 +4,9 @@ Known are longitude and latitude (EPSG:4326, 4258), web Mercator (3857),
 universal transverse Mercator (326zz, 327zz, 258zz) and the European equal-area
 grid (3035).  WGS 84 and ETRS89 count as one datum, as is usual for maps.
 
-Column expressions would do, but each step uses the one before several times:
-filters that the optimiser moves below them, such as those of a join, copy the
-steps into one another until planning does not end.
+A first form in column expressions did not get through a query with joins in
+minutes: each step uses the one before several times, and filters moved below
+them probably copy the steps into one another.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ POINTS = [
     (5.0, 50.0, "EPSG:3035", 3962799.45, 2999718.85, 0.01),
     (10.0, 52.0, "EPSG:3035", 4321000.0, 3210000.0, 1e-6),
     (-100.33333333333333, 24.381786944444446, "EPSG:3857", -11169055.58, 2800000.0, 0.01),
-    (-79.387139, 43.642567, "EPSG:32617", 630084.3, 4833438.6, 0.1),
+    (-79.387139, 43.642567, "EPSG:32617", 630084.0, 4833438.0, 1.0),
 ]
 
 
